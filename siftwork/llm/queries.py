@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftwork.llm import decontaminate, langid, quality, simhash
+from siftwork.llm import decontaminate, langid, quality, secrets, simhash
 from siftwork.sources.tables import table
 
 
@@ -12,6 +12,10 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.op2_simhash(table(spark, sf_dir, "documents"))
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.op4_secrets(table(spark, sf_dir, "documents"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.op6_decontamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -24,5 +28,5 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.op8_language_id(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash, op6_decontamination, op7_quality, op8_language_id)}
+QUERIES = {f.__name__: f for f in (op2_simhash, op4_secrets, op6_decontamination, op7_quality, op8_language_id)}
 ORACLE_SQL: dict[str, str] = {}
