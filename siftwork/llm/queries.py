@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftwork.llm import decontaminate, langid, quality, secrets, simhash
+from siftwork.llm import decontaminate, langid, packing, quality, secrets, simhash
 from siftwork.sources.tables import table
 
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.op1_packing(table(spark, sf_dir, "documents"))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.op2_simhash(table(spark, sf_dir, "documents"))
 
@@ -28,5 +32,5 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.op8_language_id(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash, op4_secrets, op6_decontamination, op7_quality, op8_language_id)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_simhash, op4_secrets, op6_decontamination, op7_quality, op8_language_id)}
 ORACLE_SQL: dict[str, str] = {}
