@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftwork.llm import decontaminate, langid, licenses, packing, quality, secrets, simhash
+from siftwork.llm import decontaminate, langid, licenses, packing, phrases, quality, secrets, simhash
 from siftwork.sources.tables import table
 
 
@@ -32,9 +32,13 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.op8_language_id(table(spark, sf_dir, "documents"))
 
 
+def op9_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.op9_phrases(table(spark, sf_dir, "documents"))
+
+
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.op10_licenses(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_simhash, op4_secrets, op6_decontamination, op7_quality, op8_language_id, op10_licenses)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_simhash, op4_secrets, op6_decontamination, op7_quality, op8_language_id, op9_phrases, op10_licenses)}
 ORACLE_SQL: dict[str, str] = {}
