@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftwork.llm import decontaminate, langid, licenses, packing, phrases, quality, secrets, simhash
+from siftwork.llm import decontaminate, langid, licenses, packing, phrases, quality, secrets, simhash, vamana
 from siftwork.sources.tables import table
 
 
@@ -20,6 +20,10 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.op4_secrets(table(spark, sf_dir, "documents"))
 
 
+def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vamana.op5_neighbours(table(spark, sf_dir, "embeddings"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.op6_decontamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -40,5 +44,5 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.op10_licenses(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_simhash, op4_secrets, op6_decontamination, op7_quality, op8_language_id, op9_phrases, op10_licenses)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_simhash, op4_secrets, op5_neighbours, op6_decontamination, op7_quality, op8_language_id, op9_phrases, op10_licenses)}
 ORACLE_SQL: dict[str, str] = {}
