@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftwork.llm import decontaminate, langid, licenses, packing, phrases, quality, secrets, simhash, vamana
+from siftwork.llm import decontaminate, langid, licenses, packing, phrases, quality, secrets, simhash, suffixes, vamana
 from siftwork.sources.tables import table
 
 
@@ -16,6 +16,10 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.op2_simhash(table(spark, sf_dir, "documents"))
 
 
+def op3_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.op3_suffixes(table(spark, sf_dir, "documents"))
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.op4_secrets(table(spark, sf_dir, "documents"))
 
@@ -44,5 +48,5 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.op10_licenses(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_simhash, op4_secrets, op5_neighbours, op6_decontamination, op7_quality, op8_language_id, op9_phrases, op10_licenses)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_simhash, op3_suffixes, op4_secrets, op5_neighbours, op6_decontamination, op7_quality, op8_language_id, op9_phrases, op10_licenses)}
 ORACLE_SQL: dict[str, str] = {}
