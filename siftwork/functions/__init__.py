@@ -1 +1 @@
-
+"""Column functions: the filter language, intervals and scalar helpers."""
