@@ -13,6 +13,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _SET: dict[str, str] = {}
+#: Drops an execution's shuffle files when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,7 +32,12 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     """Writes `df` as Parquet in the shared folder and reads it back; its path is in `df.shared_path`."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/siftwork/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.option("compression", "zstd").parquet(path)
+    clean, was = CLEANUP, spark.conf.get(CLEANUP, None)
+    spark.conf.set(clean, "true")  # the written table stands for the shuffles that made it
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(clean) if was is None else spark.conf.set(clean, was)
     out = spark.read.schema(df.schema).parquet(path)
     out.shared_path = path
     return out
