@@ -1,0 +1,127 @@
+"""Language ID, quality and secrets: held-out accuracy, exactness of places, odd rows."""
+
+import re
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from siftwork.llm import langid, quality, secrets
+
+MEDIUM = "/root/testdata/sf0.01"
+
+
+@pytest.fixture(scope="module")
+def medium(spark):
+    return spark.read.parquet(f"{MEDIUM}/documents.parquet")
+
+
+def test_language_of_held_out_documents(medium):
+    rows = langid.op8_language_id(medium).join(medium.select("doc_id", "lang"), "doc_id").collect()
+    assert len(rows) == 1000 and {r["lang_pred"] for r in rows} == {"en", "fr", "de", "es"}
+    held = [r for r in rows if r["held_out"]]
+    assert 150 < len(held) < 250 and np.mean([r["lang"] == r["lang_pred"] for r in held]) > 0.97
+    assert all(0 <= r["score"] <= 1 for r in rows) and np.mean([r["rejected"] for r in rows]) < 0.02
+
+
+def test_language_is_not_read_from_labels(medium):
+    dictionaries = langid.train(medium)
+    a = langid.identify(medium.withColumn("lang", F.lit("xx")).withColumn("source", F.lit("zz")), dictionaries).orderBy("doc_id").collect()
+    assert a == langid.identify(medium, dictionaries).orderBy("doc_id").collect()
+
+
+def test_language_odd_rows(odd, none, medium):
+    dictionaries = langid.train(medium)
+    rows = langid.identify(odd, dictionaries).collect()
+    assert len(rows) == odd.count() and {r["lang_pred"] for r in rows if r["doc_id"] in (1, 2, 3, 6)} == {"und"} and {r["score"] for r in rows if r["doc_id"] in (1, 6)} == {0.0}
+    assert langid.identify(none, dictionaries).count() == 0 and langid.train(none) == {} and langid.op8_language_id(none).count() == 0
+    assert {r["lang_pred"] for r in langid.identify(odd, {}).collect()} == {"und"}
+    kept = langid.keep_identified(odd, dictionaries)
+    assert kept.columns == odd.columns and not {1, 2, 3, 6} & {r["doc_id"] for r in kept.collect()}
+
+
+def test_dictionaries_are_bounded(medium):
+    assert all(len(d) <= langid.SAMPLE_BYTES + 2 * langid.SAMPLE_EACH * 4 for d in langid.train(medium).values())
+
+
+def test_quality_of_held_out_documents(spark, medium):
+    labels = spark.read.parquet(f"{MEDIUM}/labels.parquet")
+    rows = quality.op7_quality(medium, labels).join(labels, "doc_id").collect()
+    held = [r for r in rows if r["held_out"]]
+    good, bad = [r["score"] for r in held if r["quality"] == 1], [r["score"] for r in held if r["quality"] == 0]
+    auc = np.mean([(g > b) + 0.5 * (g == b) for g in good for b in bad])
+    assert auc > 0.95 and np.mean([r["predicted"] == r["quality"] for r in held]) > 0.93
+    assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.3) for r in rows)
+
+
+def test_quality_does_not_see_held_out_labels(spark, medium):
+    labels = spark.read.parquet(f"{MEDIUM}/labels.parquet")
+    flipped = labels.withColumn("quality", F.when(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, 1 - F.col("quality")).otherwise(F.col("quality")))
+    assert quality.op7_quality(medium, labels).orderBy("doc_id").collect() == quality.op7_quality(medium, flipped).orderBy("doc_id").collect()
+
+
+def test_quality_odd_rows(spark, odd, none):
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0), (2, None, 0), (None, 1, 0), (99, 1, 0), (8, 1, 1), (9, 0, 1)], "doc_id long, quality int, toxic int")
+    rows = quality.op7_quality(odd, labels).collect()
+    assert len(rows) == odd.count() and all(0 <= r["score"] <= 1 for r in rows)
+    assert quality.op7_quality(none, labels).count() == 0 and quality.op7_quality(odd, labels.limit(0)).count() == odd.count()
+
+
+def test_additive_model_learns_an_interaction():
+    rng = np.random.default_rng(0)
+    x = rng.random((4000, 4))
+    y = ((x[:, 0] > 0.5) ^ (x[:, 1] > 0.5)).astype(float)
+    m = quality.fit(x[:3000], y[:3000])
+    assert np.mean((quality.score(m, x[3000:]) > 0.5) == (y[3000:] > 0)) > 0.9
+    table = {frozenset((i, j)) for i, j, _ in m["pairs"]}
+    assert frozenset((0, 1)) in table
+    step = quality._step(np.array([1.0, 1, -1, -1]), np.ones(4), 2, 0.0)
+    assert step.tolist() == [1, 1, -1, -1]
+
+
+@pytest.fixture(scope="module")
+def forest(spark):
+    return secrets.train(secrets.labelled_findings(spark))
+
+
+def test_secrets_of_the_table(medium, forest):
+    rows = secrets.scan(medium, forest).collect()
+    text = {r["doc_id"]: r["text"] for r in medium.select("doc_id", "text").collect()}
+    assert all(text[r["doc_id"]][r["start"] : r["start"] + r["length"]] == r["value"] for r in rows)
+    want = {(i, m.start(1)) for i, t in text.items() for m in re.finditer(r'(?i)token = "([0-9a-f]{40})"', t)}
+    assert {(r["doc_id"], r["start"]) for r in rows if r["is_secret"]} == want
+    # candidates are what a plain search finds
+    plain = re.compile(r"(?<![A-Za-z0-9_+/=\-])(?=[A-Za-z_+/\-]*[0-9])[A-Za-z0-9_+/\-]{16,}={0,2}")
+    assert {(r["doc_id"], r["start"]) for r in rows} >= {(i, m.start()) for i, t in text.items() for m in plain.finditer(t)}
+
+
+def test_secret_kinds(spark, forest):
+    yes = ["password = hunter2hunter2", 'api_key: "Zm9vYmFyYmF6cXV4MTIzNDU2"', "AKIA" + "ABCDEFGH12345678"[:16], "ghp_0123456789abcdefABCDEF0123456789abcd"]
+    no = ["commit 04dbebab91ab85687d33eeaaf9ac699e1188f962", "card 4845168114407329 ", "https://example.org/blog/2024-list-of-names-12345", "plain words only", "uuid 123e4567-e89b-12d3-a456-426614174000 "]
+    df = spark.createDataFrame(list(enumerate(yes + no)), "doc_id long, text string")
+    assert {r["doc_id"] for r in secrets.scan(df, forest).filter("is_secret").collect()} == set(range(len(yes)))
+
+
+def test_forest_on_held_out_findings(spark):
+    f = secrets.labelled_findings(spark)
+    part = F.pmod(F.xxhash64("value", "before"), F.lit(4)) == 0
+    m = secrets.train(f.filter(~part))
+    rows = m.transform(secrets.featurise(f.filter(part))).select("label", "prediction").collect()
+    assert len(rows) > 1000 and np.mean([r["label"] == r["prediction"] for r in rows]) > 0.98
+    assert f.collect() == secrets.labelled_findings(spark).collect()
+
+
+def test_secret_scan_is_native(medium, forest):
+    plan = secrets.scan(medium, forest)._jdf.queryExecution().toString()
+    assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_redact(spark, odd, none, medium, forest):
+    token = "f3ef4d6b2755a36d7d9c25bd72c4d5f67e061fda"
+    rows = [(1, f'a token = "{token}" b "{token}"', 9), (1, f'a token = "{token}" b "{token}"', 9), (None, f'x token = "{token}"', 9), (2, "clean", 5), (3, None, None), (4, "card 4845168114407329", 21)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
+    out = sorted(((r["doc_id"] or 0, r["text"], r["n_chars"]) for r in secrets.redact(df, forest).collect()), key=str)
+    masked = 'a token = "[SECRET]" b "[SECRET]"'
+    assert out == sorted([(1, masked, len(masked)), (1, masked, len(masked)), (0, 'x token = "[SECRET]"', 20), (2, "clean", 5), (3, None, None), (4, "card 4845168114407329", 21)], key=str)
+    assert secrets.redact(odd, forest).count() == odd.count() and secrets.redact(odd, forest).columns == odd.columns
+    assert secrets.redact(none, forest).count() == 0 and secrets.op4_secrets(none).count() == 0 and secrets.op4_secrets(odd).count() == 0
