@@ -17,7 +17,7 @@ def texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
 
 def small_batches(spark: SparkSession) -> None:
     """Bounds what a Python worker holds at once when texts are very long; a session's own settings stay."""
-    for key, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", "4000"), ("spark.sql.execution.arrow.maxBytesPerBatch", "33554432")):
+    for key, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", "2000"), ("spark.sql.execution.arrow.maxBytesPerBatch", "8388608")):
         if spark.conf.get(key, None) is None:
             spark.conf.set(key, value)
 

@@ -25,8 +25,8 @@ from siftwork.llm.recurring import Rolling, least, mix, run_places, runs, unsque
 from siftwork.plans.shared import materialize
 
 WINDOW, GRAM = 13, 5
-#: Most characters of phrases in one automaton, but for a single document with more.
-SHARD_CHARS = 1 << 21
+#: Most characters of phrases (and four times as many of documents) in one shard, but for a single document with more.
+SHARD_CHARS = 1 << 19
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 SPACE = _SPACE.tolist()
@@ -41,7 +41,7 @@ def word_anchors(window: int = WINDOW, gram: int = GRAM):
         for group in _word_blocks(data, window):
             joined = np.frombuffer(b" ".join(part for _, _, part in group), np.uint8)
             if rolling is None or len(rolling.up) <= len(joined):
-                rolling = Rolling(max(len(joined), 1 << 20) + 1)
+                rolling = Rolling(max(len(joined), 1 << 18) + 1)
             inside = ~space[joined]
             step = np.diff(np.r_[0, inside.view(np.int8), 0])
             start, stop = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
@@ -75,7 +75,7 @@ def word_anchors(window: int = WINDOW, gram: int = GRAM):
     return find
 
 
-def _word_blocks(data: list[bytes], window: int, size: int = 1 << 20):
+def _word_blocks(data: list[bytes], window: int, size: int = 1 << 18):
     """Like recurring.blocks, but a long text is cut between words and its pieces share window - 1 words; offsets count words."""
     now, have = [], 0
     for k, text in enumerate(data):
@@ -115,7 +115,7 @@ def _occurrences(automaton, line: str, ends: list[int]) -> list[tuple[int, int,
     return out
 
 
-STATE = "doc_id long, x long, n_words long, n_removed long, kept_sha256 string, z binary, runs array<struct<first: binary, count: binary>>"
+STATE = "doc_id long, x long, n_words long, n_removed long, kept_sha256 string, z binary, runs binary, sizes binary"
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 
@@ -133,27 +133,27 @@ def dedup(docs: DataFrame, window: int = WINDOW, text_col: str = "text", id_col:
     def first_look(batches):
         for b in batches:
             out = []
-            for doc_id, x, z, first_id, _, found in zip(*(c.to_pylist() for c in b.columns)):
+            for doc_id, x, z, first_id, found, sizes in zip(*(c.to_pylist() for c in b.columns)):
                 words = unsqueeze(z).split()
                 n = len(words)
                 if first_id < doc_id and n >= window:
-                    out.append((doc_id, x, n, n, sha([]), None, None))
+                    out.append((doc_id, x, n, n, sha([]), None, None, None))
                 elif first_id < doc_id or not found or n < window:
-                    out.append((doc_id, x, n, 0, sha(words), None, None))
+                    out.append((doc_id, x, n, 0, sha(words), None, None, None))
                 else:
-                    out.append((doc_id, x, n, 0, None, z, found))
+                    out.append((doc_id, x, n, 0, None, z, found, sizes))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=names)
 
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.list_(pa.struct([("first", pa.binary()), ("count", pa.binary())]))]
-    names = ["doc_id", "x", "n_words", "n_removed", "kept_sha256", "z", "runs"]
-    state = materialize(seen.select("doc_id", "x", "z", "first_id", "copies", "runs").mapInArrow(first_look, STATE.replace("", "")), "looked")
-    open_ = state.filter("z IS NOT NULL").select("doc_id", "x", "z", "runs").dropDuplicates(["doc_id", "x"])
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.binary()]
+    names = ["doc_id", "x", "n_words", "n_removed", "kept_sha256", "z", "runs", "sizes"]
+    state = materialize(seen.select("doc_id", "x", "z", "first_id", "runs", "sizes").mapInArrow(first_look, STATE.replace("", "")), "looked")
+    open_ = state.filter("z IS NOT NULL").select("doc_id", "x", "z", "runs", "sizes").dropDuplicates(["doc_id", "x"])
 
     def windows(batches):
         for b in batches:
-            for doc_id, x, z, found in zip(*(c.to_pylist() for c in b.columns)):
+            for doc_id, x, z, found, sizes in zip(*(c.to_pylist() for c in b.columns)):
                 words = unsqueeze(z).split()
-                at = run_places(found)
+                at = run_places(found, sizes)
                 line = b" ".join(words)
                 stop = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
                 start = np.r_[0, stop[:-1] + 1]
@@ -164,17 +164,20 @@ def dedup(docs: DataFrame, window: int = WINDOW, text_col: str = "text", id_col:
     each = materialize(open_.mapInArrow(windows, "h long, l long, doc_id long, x long, at int"), "windows")
     owners = each.groupBy("h", "l").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("other")).filter("owner < other").select("h", "l", "owner")
     owners = materialize(owners, "owners")
-    later = each.join(owners, ["h", "l"]).filter("owner < doc_id").groupBy("doc_id", "x").agg(F.collect_list(F.struct("at", "owner")).alias("shared"))
+    later = each.join(owners, ["h", "l"]).filter("owner < doc_id").groupBy("doc_id", "x").agg(F.array_sort(F.collect_list(F.struct("at", "owner"))).alias("shared"))
     todo = state.filter("z IS NOT NULL").select("doc_id", "x", "z").join(later, ["doc_id", "x"], "left")
 
     def finish(batches):
         held: list[tuple] = []
         chars = 0
         for b in batches:
-            for doc_id, _, z, shared in zip(*(c.to_pylist() for c in b.columns)):
+            shared = b.column(3)
+            at, owner = (shared.values.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            cuts = shared.offsets.to_numpy()
+            for k, (doc_id, z) in enumerate(zip(b.column(0).to_pylist(), b.column(2).to_pylist())):
                 words = unsqueeze(z).split()
-                held.append((doc_id, words, _passages(words, shared or [], window)))
-                chars += sum(map(len, held[-1][2]))
+                held.append((doc_id, words, _passages(words, at[cuts[k] : cuts[k + 1]], owner[cuts[k] : cuts[k + 1]], window)))
+                chars += sum(map(len, held[-1][2])) + sum(map(len, words)) // 4
                 if chars > SHARD_CHARS:
                     yield _shard(held)
                     held, chars = [], 0
@@ -186,19 +189,16 @@ def dedup(docs: DataFrame, window: int = WINDOW, text_col: str = "text", id_col:
     return done.unionByName(todo.mapInArrow(finish, RESULT)).unionByName(none)
 
 
-def _passages(words: list[bytes], shared: list[dict], window: int) -> dict[str, int]:
-    """Maximal runs of shared windows as phrases, each with the largest of its owners."""
+def _passages(words: list[bytes], at: np.ndarray, owner: np.ndarray, window: int) -> dict[str, int]:
+    """Maximal runs of shared windows (in order) as phrases, each with the largest of its owners."""
     out: dict[str, int] = {}
-    at = sorted((s["at"], s["owner"]) for s in shared)
-    i = 0
-    while i < len(at):
-        j = i
-        while j + 1 < len(at) and at[j + 1][0] <= at[j][0] + 1:
-            j += 1
-        text = " " + b" ".join(words[at[i][0] : at[j][0] + window]).decode("utf-8", "surrogatepass") + " "
-        owner = max(o for _, o in at[i : j + 1])
-        out[text] = min(owner, out.get(text, owner))
-        i = j + 1
+    if not len(at):
+        return out
+    first = np.flatnonzero(np.r_[True, np.diff(at) > 1])
+    most = np.maximum.reduceat(owner, first)
+    for a, z, o in zip(at[first].tolist(), at[np.r_[first[1:], len(at)] - 1].tolist(), most.tolist()):
+        text = " " + b" ".join(words[a : z + window]).decode("utf-8", "surrogatepass") + " "
+        out[text] = min(o, out.get(text, o))
     return out
 
 

@@ -25,7 +25,7 @@ from siftwork.plans.shared import materialize
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 #: Most bytes of text that are hashed at once; a place within them takes PLACE_BITS bits.
-BLOCK, PLACE_BITS = 1 << 20, 21
+BLOCK, PLACE_BITS = 1 << 18, 21
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -45,8 +45,14 @@ class Rolling:
             self.down = np.cumprod(np.r_[np.uint64(1), np.full(size, INVERSE)])
 
     def sums(self, data: np.ndarray) -> np.ndarray:
+        out = np.empty(len(data) + 1, np.uint64)
+        out[0] = 0
         with np.errstate(over="ignore"):
-            return np.r_[np.uint64(0), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * self.up[: len(data)])]
+            terms = data.astype(np.uint64)
+            terms += np.uint64(1)
+            terms *= self.up[: len(data)]
+            np.cumsum(terms, out=out[1:])
+        return out
 
     def of(self, sums: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
@@ -101,7 +107,7 @@ def hits(docs: DataFrame, anchors, places_count: bool) -> DataFrame:
     arrays (item, key, first window, windows). An anchor recurs if two different
     texts hold it, or, with `places_count`, also two places of one text. Of
     equal texts in a batch only the smallest id is looked at: the others are
-    copies of it. A text has several rows.
+    copies of it. A text has one row at most.
     """
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -144,13 +150,14 @@ def hits(docs: DataFrame, anchors, places_count: bool) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows[lo : lo + 512]], t) for c, t in enumerate(kinds)], names=[c.split()[0] for c in MESSAGE.split(", ")])
 
     def resolve(batches):
+        """What recurs among the keys of a partition, packed by groups of documents."""
         key, who, told, doc, first, count = [], [], [], [], [], []
-        out: list[tuple] = []
+        local: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for b in batches:
             for _, kind, k, w, d, f, c in zip(*(b.column(i).to_pylist() for i in range(7))):
                 if kind == 2:
-                    i, x = np.frombuffer(d, np.int64)
-                    out.append((int(i), int(x), f, c))
+                    f = np.frombuffer(f, np.int32)
+                    local.append((np.repeat(np.frombuffer(d, np.int64)[:, None], len(f), 1), f, np.frombuffer(c, np.int32)))
                     continue
                 k = np.frombuffer(k, np.uint64)
                 key.append(k)
@@ -160,34 +167,48 @@ def hits(docs: DataFrame, anchors, places_count: bool) -> DataFrame:
                 who.append(np.frombuffer(w, np.uint64) if w else pair[1].astype(np.uint64))
                 first.append(np.frombuffer(f, np.int32) if f else np.zeros(len(k), np.int32))
                 count.append(np.frombuffer(c, np.int32) if c else np.zeros(len(k), np.int32))
-            if len(out) >= 2048:
-                yield _hit_rows(out)
-                out = []
         if key:
-            k, w, t, d, f, c = np.concatenate(key), np.concatenate(who), np.concatenate(told), np.concatenate(doc, axis=1), np.concatenate(first), np.concatenate(count)
+            k, w, t = np.concatenate(key), np.concatenate(who), np.concatenate(told)
+            del key, who, told
             order = np.lexsort((w, k))
-            k, w, t, d, f, c = k[order], w[order], t[order], d[:, order], f[order], c[order]
+            k, w, t = k[order], w[order], t[order]
             start = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
             stop = np.r_[start[1:], len(k)] - 1
             again = (w[start] != w[stop]) | np.logical_or.reduceat(t, start)
-            pick = np.repeat(again, stop - start + 1) & ~t
-            d, f, c = d[:, pick], f[pick], c[pick]
-            order = np.lexsort((f, d[1], d[0]))
-            d, f, c = d[:, order], f[order], c[order]
-            cut = np.flatnonzero(np.r_[True, (d[:, 1:] != d[:, :-1]).any(axis=0)]) if d.shape[1] else np.empty(0, np.int64)
-            for a, z in zip(cut, np.r_[cut[1:], d.shape[1]]):
-                out.append((int(d[0, a]), int(d[1, a]), f[a:z].tobytes(), c[a:z].tobytes()))
-                if len(out) >= 2048:
-                    yield _hit_rows(out)
-                    out = []
-        if out:
-            yield _hit_rows(out)
-
-    return docs.select("doc_id", "x", "text").mapInArrow(emit, MESSAGE).repartition(n, "bucket").mapInArrow(resolve, HIT)
-
-
-def _hit_rows(out: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["doc_id", "x", "first", "count"])
+            pick = order[np.repeat(again, stop - start + 1) & ~t]
+            del k, w, t, order
+            local.append((np.concatenate(doc, axis=1)[:, pick], np.concatenate(first)[pick], np.concatenate(count)[pick]))
+        yield from _packed(local, buckets)
+
+    def gather(batches):
+        """One row a document."""
+        local = [(np.frombuffer(d, np.int64).reshape(2, -1), np.frombuffer(f, np.int32), np.frombuffer(c, np.int32)) for b in batches for d, f, c in zip(*(b.column(i).to_pylist() for i in (1, 2, 3)))]
+        if not local:
+            return
+        d, f, c = np.concatenate([x[0] for x in local], axis=1), np.concatenate([x[1] for x in local]), np.concatenate([x[2] for x in local])
+        order = np.lexsort((f, d[1], d[0]))
+        d, f, c = d[:, order], f[order], c[order]
+        cut = np.flatnonzero(np.r_[True, (d[:, 1:] != d[:, :-1]).any(axis=0)])
+        spans = list(zip(cut.tolist(), np.r_[cut[1:], d.shape[1]].tolist()))
+        for lo in range(0, len(spans), 4096):
+            part = spans[lo : lo + 4096]
+            at = [a for a, _ in part]
+            yield pa.RecordBatch.from_arrays([pa.array(d[0, at]), pa.array(d[1, at]), pa.array([f[a:z].tobytes() for a, z in part], pa.binary()), pa.array([c[a:z].tobytes() for a, z in part], pa.binary())], names=["doc_id", "x", "first", "count"])
+
+    found = docs.select("doc_id", "x", "text").mapInArrow(emit, MESSAGE).repartition(n, "bucket").mapInArrow(resolve, "part int, doc binary, first binary, count binary")
+    return found.repartition(n, "part").mapInArrow(gather, HIT)
+
+
+def _packed(local: list[tuple[np.ndarray, np.ndarray, np.ndarray]], parts: int) -> Iterator[pa.RecordBatch]:
+    """Rows (part, doc, first, count): runs of windows by group of documents."""
+    if not local:
+        return
+    d, f, c = np.concatenate([x[0] for x in local], axis=1), np.concatenate([x[1] for x in local]), np.concatenate([x[2] for x in local])
+    part = (mix((d[0] ^ d[1]).view(np.uint64)) % np.uint64(parts)).astype(np.int32)
+    order = np.argsort(part, kind="stable")
+    part, d, f, c = part[order], d[:, order], f[order], c[order]
+    for a, z in _spans(part):
+        yield pa.RecordBatch.from_arrays([pa.array([int(part[a])], pa.int32()), pa.array([d[:, a:z].tobytes()], pa.binary()), pa.array([f[a:z].tobytes()], pa.binary()), pa.array([c[a:z].tobytes()], pa.binary())], names=["part", "doc", "first", "count"])
 
 
 def _spans(values: np.ndarray) -> list[tuple[int, int]]:
@@ -210,19 +231,19 @@ def unsqueeze(data: bytes) -> bytes:
 
 
 def with_hits(docs: DataFrame, anchors, places_count: bool) -> DataFrame:
-    """(doc_id, x, z, first_id, copies, runs): every row of docs (doc_id, text) with what it takes part in.
+    """(doc_id, x, first_id, copies, runs, sizes, z): every row of docs (doc_id, text) with what it takes part in.
 
     z is the text as zstandard; first_id the smallest id with the same text and
-    copies the number of rows with it; runs an array of struct(first, count),
-    blocks of 32-bit numbers, null where nothing recurs. Null ids must be left
-    out before. The texts move once.
+    copies the number of rows with it; runs and sizes the first windows and
+    lengths of its runs, blocks of 32-bit numbers, null where nothing recurs.
+    Null ids must be left out before. The texts move once.
     """
     rows = texts(docs).withColumn("x", digest())
     marks = rows.select("doc_id", "x", F.unhex(F.md5("text")).alias("d"))
     # written, so that adaptive execution can split the join where one text has very many copies
     same = materialize(marks.groupBy("d").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies")), "same")
     info = marks.distinct().join(same, "d").select("doc_id", "x", "first_id", "copies")
-    found = hits(rows, anchors, places_count).groupBy("doc_id", "x").agg(F.collect_list(F.struct("first", "count")).alias("runs"))
+    found = hits(rows, anchors, places_count).withColumnsRenamed({"first": "runs", "count": "sizes"})
     info = info.join(found, ["doc_id", "x"], "left")
 
     def pack(batches):
@@ -233,8 +254,7 @@ def with_hits(docs: DataFrame, anchors, places_count: bool) -> DataFrame:
     return z.join(info, ["doc_id", "x"])
 
 
-def run_places(found: list[dict]) -> np.ndarray:
+def run_places(first: bytes, count: bytes) -> np.ndarray:
     """Window starts of all runs, in order."""
-    first = np.concatenate([np.frombuffer(r["first"], np.int32) for r in found]).astype(np.int64)
-    count = np.concatenate([np.frombuffer(r["count"], np.int32) for r in found]).astype(np.int64)
+    first, count = np.frombuffer(first, np.int32).astype(np.int64), np.frombuffer(count, np.int32).astype(np.int64)
     return np.unique(np.repeat(first - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(count.sum()))

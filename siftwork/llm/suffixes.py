@@ -116,26 +116,26 @@ def dedup(docs: DataFrame, window: int = WINDOW, text_col: str = "text", id_col:
     rows = texts(docs, id_col, text_col)
     area = window // 2
     seen = with_hits(rows.filter("doc_id IS NOT NULL"), byte_anchors(window, area), True)
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.list_(pa.struct([("first", pa.binary()), ("count", pa.binary())])), pa.bool_()]
-    names = ["doc_id", "x", "n_bytes", "n_removed", "n_spans", "kept_sha256", "z", "runs", "silent"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.binary(), pa.bool_()]
+    names = ["doc_id", "x", "n_bytes", "n_removed", "n_spans", "kept_sha256", "z", "runs", "sizes", "silent"]
 
     def first_look(batches):
         for b in batches:
             out = []
-            for doc_id, x, z, first_id, copies, found in zip(*(c.to_pylist() for c in b.columns)):
+            for doc_id, x, z, first_id, copies, found, sizes in zip(*(c.to_pylist() for c in b.columns)):
                 data = unsqueeze(z)
                 n = len(data)
                 if copies > 1 and n >= window:
                     source = found if first_id == doc_id else None
-                    out.append((doc_id, x, n, n, 1, hashlib.sha256(b"").hexdigest(), z if source else None, source, True))
+                    out.append((doc_id, x, n, n, 1, hashlib.sha256(b"").hexdigest(), z if source else None, source, sizes if source else None, True))
                 elif not found or n < window:
-                    out.append((doc_id, x, n, 0, 0, hashlib.sha256(data).hexdigest(), None, None, False))
+                    out.append((doc_id, x, n, 0, 0, hashlib.sha256(data).hexdigest(), None, None, None, False))
                 else:
-                    out.append((doc_id, x, n, 0, 0, None, z, found, False))
+                    out.append((doc_id, x, n, 0, 0, None, z, found, sizes, False))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=names)
 
-    schema = "doc_id long, x long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, z binary, runs array<struct<first: binary, count: binary>>, silent boolean"
-    state = materialize(seen.select("doc_id", "x", "z", "first_id", "copies", "runs").mapInArrow(first_look, schema), "looked")
+    schema = "doc_id long, x long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, z binary, runs binary, sizes binary, silent boolean"
+    state = materialize(seen.select("doc_id", "x", "z", "first_id", "copies", "runs", "sizes").mapInArrow(first_look, schema), "looked")
 
     def segments(batches):
         """Distinct segments of a batch; those with two places are repeats already."""
@@ -143,11 +143,10 @@ def dedup(docs: DataFrame, window: int = WINDOW, text_col: str = "text", id_col:
         rolling = None
         for b in batches:
             places: dict[bytes, list[tuple]] = {}
-            for doc_id, x, z, found, silent in zip(*(c.to_pylist() for c in b.columns)):
+            for doc_id, x, z, found, sizes, silent in zip(*(c.to_pylist() for c in b.columns)):
                 data = unsqueeze(z)
-                for r in found:
-                    for f, c in zip(np.frombuffer(r["first"], np.int32).tolist(), np.frombuffer(r["count"], np.int32).tolist()):
-                        places.setdefault(data[f : f + c - 1 + window], []).append((doc_id, x, f, c, silent))
+                for f, c in zip(np.frombuffer(found, np.int32).tolist(), np.frombuffer(sizes, np.int32).tolist()):
+                    places.setdefault(data[f : f + c - 1 + window], []).append((doc_id, x, f, c, silent))
             if not places:
                 continue
             segs = list(places)
@@ -175,7 +174,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, text_col: str = "text", id_col:
             for lo in range(0, len(out), 4096):
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out[lo : lo + 4096]], t) for k, t in enumerate(types)], names=[c.split()[0] for c in SEGMENT.split(", ")])
 
-    open_ = state.filter("z IS NOT NULL").select("doc_id", "x", "z", "runs", "silent").dropDuplicates(["doc_id", "x"])
+    open_ = state.filter("z IS NOT NULL").select("doc_id", "x", "z", "runs", "sizes", "silent").dropDuplicates(["doc_id", "x"])
     segs = materialize(open_.mapInArrow(segments, SEGMENT), "segments")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     own = segs.filter("seg IS NOT NULL").select("doc_id", "x", "first", "count", "lead", "seg", "multi", "silent")
