@@ -26,16 +26,28 @@ from siftwork.llm.recurring import Rolling, blocks, least, mix, runs, unsqueeze,
 from siftwork.plans.shared import materialize
 
 WINDOW, AREA, GRAM, LEAD = 400, 200, 16, 32
+LOW, SPREAD = np.uint64((1 << 21) - 1), np.uint64(0xD6E8FEB86659FD93)
 #: Segments of one lead that may meet in a bucket.
 HOT_LEAD = 256
 
 
+def ranks(data: np.ndarray, rolling: Rolling, gram: int = GRAM) -> np.ndarray:
+    """A pseudo-random rank of the gram at every byte; the low bits are the byte's place, so the first of equal grams ranks least."""
+    sums = rolling.sums(data)
+    n = len(data) - gram + 1
+    with np.errstate(over="ignore"):
+        out = (sums[gram:] - sums[:n]) * rolling.down[:n]
+        out *= SPREAD
+    out &= ~LOW
+    out |= np.arange(n, dtype=np.uint64)
+    return out
+
+
 def byte_anchors(window: int = WINDOW, area: int = AREA, gram: int = GRAM):
     """A function: list of texts in bytes -> arrays (item, key, first window, windows).
 
     A window's anchor is the least gram of its first `area` bytes, the key a hash of the `area` bytes from there.
     """
-    low = np.uint64((1 << 21) - 1)
 
     def find(data: list[bytes]):
         rolling, out = None, []
@@ -44,20 +56,17 @@ def byte_anchors(window: int = WINDOW, area: int = AREA, gram: int = GRAM):
                 continue
             joined = np.frombuffer(b" ".join(p for _, _, p in group), np.uint8)
             if rolling is None or len(rolling.up) <= len(joined):
-                rolling = Rolling(max(len(joined), 1 << 20) + 1)
-            sums = rolling.sums(joined)
-            i = np.arange(len(joined) - gram + 1)
-            ranked = (mix(rolling.of(sums, i, i + gram)) & ~low) | i.astype(np.uint64)
-            best = least(ranked, area - gram + 1)
+                rolling = Rolling(max(len(joined), 1 << 18) + 1)
+            best = least(ranks(joined, rolling, gram), area - gram + 1)
             sizes = np.array([len(p) for _, _, p in group])
             offset = np.r_[0, np.cumsum(sizes + 1)[:-1]]
             many = np.maximum(sizes - window + 1, 0)
             part = np.repeat(np.arange(len(group)), many)
             windows = np.arange(many.sum()) + np.repeat(offset - np.r_[0, np.cumsum(many)[:-1]], many)
-            anchor, first, count = runs((best[windows] & low).astype(np.int64), windows)
+            anchor, first, count = runs((best[windows] & LOW).astype(np.int64), windows)
             of = part[np.searchsorted(windows, first)]
             item, base = np.array([k for k, _, _ in group])[of], np.array([at for _, at, _ in group])[of]
-            out.append((item, mix(rolling.of(sums, anchor, anchor + area)), base + first - offset[of], count))
+            out.append((item, mix(rolling.of(rolling.sums(joined), anchor, anchor + area)), base + first - offset[of], count))
         if not out:
             return np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
         return tuple(np.concatenate(x) for x in zip(*out))
@@ -65,26 +74,100 @@ def byte_anchors(window: int = WINDOW, area: int = AREA, gram: int = GRAM):
     return find
 
 
-def repeats(data: np.ndarray, starts: np.ndarray, window: int) -> np.ndarray:
-    """Which suffixes of `data` at `starts` share their first `window` bytes with another: a multikey quicksort on 8-byte keys."""
-    left = np.arange(len(starts))
+def anchors_of(data: bytes, starts: np.ndarray, rolling: Rolling, window: int, area: int, gram: int = GRAM) -> np.ndarray:
+    """The anchors of the windows at `starts`, in order, of one text."""
+    size = len(rolling.up) - 1
+    out = np.empty(len(starts), np.int64)
+    for lo in range(0, max(1, len(data) - window + 1), size - window + 1):
+        a, z = np.searchsorted(starts, [lo, lo + size - window + 1])
+        if a < z:
+            best = least(ranks(np.frombuffer(data[lo : lo + size], np.uint8), rolling, gram), area - gram + 1)
+            out[a:z] = lo + (best[starts[a:z] - lo] & LOW).astype(np.int64)
+    return out
+
+
+def multikey_order(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """The order of the suffixes data[start:stop], by a multikey quicksort on keys of eight bytes; equal ones in any order.
+
+    Each round looks at the next key of those suffixes alone that are equal so far.
+    """
+    padded = np.r_[data, np.zeros(8, np.uint8)]
+    words = np.ndarray((len(data) + 1,), ">u8", padded, strides=(1,))
+    order = np.arange(len(starts))
     group = np.zeros(len(starts), np.int64)
-    for depth in range(0, window, 8):
-        if not len(left):
+    at = np.arange(len(starts))
+    for depth in range(0, int((stops - starts).max(initial=0)), 8):
+        if len(at) < 2:
             break
-        width = min(8, window - depth)
-        key = np.zeros((len(left), 8), np.uint8)
-        key[:, :width] = data[starts[left][:, None] + depth + np.arange(width)]
-        key = key.view(">u8").reshape(-1).astype(np.uint64)
-        order = np.lexsort((key, group))
-        left, group, key = left[order], group[order], key[order]
-        new = np.r_[True, (group[1:] != group[:-1]) | (key[1:] != key[:-1])]
-        at = np.cumsum(new) - 1
-        more = np.bincount(at)[at] > 1
-        left, group = left[more], at[more]
-    out = np.zeros(len(starts), bool)
-    out[left] = True
-    return out
+        sub = order[at]
+        place, left = starts[sub] + depth, stops[sub] - starts[sub] - depth
+        key = words[np.minimum(place, len(data))].astype(np.uint64)
+        short = left < 8
+        key[short] = np.where(left[short] > 0, key[short] & (~np.uint64(0) << (np.uint64(8) * (8 - np.maximum(left[short], 0)).astype(np.uint64) % np.uint64(64))), 0)
+        by = np.lexsort((key, group[at]))
+        order[at] = sub[by]
+        key, g = key[by], group[at]
+        new = np.r_[True, (g[1:] != g[:-1]) | (key[1:] != key[:-1])]
+        first = np.flatnonzero(new)
+        sizes = np.diff(np.r_[first, len(at)])
+        group[at] = np.repeat(at[first], sizes)
+        at = at[np.repeat(sizes, sizes) > 1]
+    return order
+
+
+def _equal_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, most: np.ndarray, step: int) -> np.ndarray:
+    """How many bytes are equal from places a and b on, forwards or (step -1) backwards, at most `most`."""
+    out = np.empty(len(a), np.int64)
+    top = int(most.max(initial=0))
+    for lo in range(0, len(a), 8192):
+        p, q, m = a[lo : lo + 8192, None], b[lo : lo + 8192, None], most[lo : lo + 8192]
+        i = np.arange(top) * step
+        differ = data[np.clip(p + i, 0, len(data) - 1)] != data[np.clip(q + i, 0, len(data) - 1)]
+        differ[np.arange(top) >= m[:, None]] = True
+        out[lo : lo + 8192] = np.where(differ.any(axis=1), differ.argmax(axis=1), top) if top else 0
+    return np.minimum(out, most)
+
+
+def repeats(segments: list[bytes], anchors: np.ndarray, window: int, area: int, gram: int = GRAM) -> list[np.ndarray]:
+    """Which windows of each distinct segment also stand in another one, by window from the segment's start.
+
+    The segments are sorted as suffixes from their anchors. Neighbours share R
+    bytes from there and L before it; the windows that start d before the anchor
+    are equal if d <= L and window - d <= R. A pair further apart shares the least
+    R in between, and a group ends where that is less than any window needs.
+    """
+    data = np.frombuffer(b"".join(segments), np.uint8)
+    sizes = np.array([len(s) for s in segments])
+    base = np.r_[0, np.cumsum(sizes)]
+    many = sizes - window + 1
+    flat = np.r_[0, np.cumsum(many + 1)]  # a slot behind each segment's windows takes the ends of runs
+    edge = np.zeros(flat[-1] + 1, np.int64)
+    order = multikey_order(data, base[:-1] + anchors, base[1:])
+    at, right = anchors[order], (sizes - anchors)[order]
+    place = (base[:-1] + anchors)[order]
+    least_right = window - (area - gram)
+    shared = _equal_bytes(data, place[:-1], place[1:], np.minimum(right[:-1], right[1:]), 1)
+    left, reach = np.flatnonzero(shared >= least_right), shared[shared >= least_right]
+    lag = 1
+    while len(left):
+        i, j = left, left + lag
+        back = _equal_bytes(data, place[i] - 1, place[j] - 1, np.minimum(at[i], at[j]), -1)
+        lo = window - reach
+        ok = lo <= back
+        for k in (i[ok], j[ok]):
+            # windows from back to lo bytes before the anchor, within the segment
+            first = np.maximum(at[k] - back[ok], 0)
+            last = np.minimum(at[k] - np.maximum(lo[ok], 0), many[order[k]] - 1)
+            good = first <= last
+            np.add.at(edge, flat[order[k[good]]] + first[good], 1)
+            np.add.at(edge, flat[order[k[good]]] + last[good] + 1, -1)
+        on = left + lag < len(order) - 1
+        left, reach = left[on], np.minimum(reach[on], shared[left[on] + lag])
+        keep = reach >= least_right
+        left, reach = left[keep], reach[keep]
+        lag += 1
+    yes = np.cumsum(edge) > 0
+    return [yes[flat[k] : flat[k] + many[k]] for k in range(len(segments))]
 
 
 def _covers(first: int, yes: np.ndarray, window: int) -> list[tuple[int, int]]:
@@ -93,7 +176,7 @@ def _covers(first: int, yes: np.ndarray, window: int) -> list[tuple[int, int]]:
     return [(first + a, first + b - 1 + window) for a, b in zip(np.flatnonzero(step == 1).tolist(), np.flatnonzero(step == -1).tolist())]
 
 
-SEGMENT = "doc_id long, x long, first int, count int, lead binary, seg binary, multi boolean, silent boolean, covers binary"
+SEGMENT = "doc_id long, x long, first int, count int, lead binary, seg binary, anchor int, multi boolean, silent boolean, covers binary"
 COVER = "doc_id long, x long, start long, stop long"
 
 
@@ -139,45 +222,36 @@ def dedup(docs: DataFrame, window: int = WINDOW, text_col: str = "text", id_col:
 
     def segments(batches):
         """Distinct segments of a batch; those with two places are repeats already."""
-        gram = GRAM
-        rolling = None
+        rolling = Rolling(1 << 18)
         for b in batches:
             places: dict[bytes, list[tuple]] = {}
             for doc_id, x, z, found, sizes, silent in zip(*(c.to_pylist() for c in b.columns)):
                 data = unsqueeze(z)
-                for f, c in zip(np.frombuffer(found, np.int32).tolist(), np.frombuffer(sizes, np.int32).tolist()):
-                    places.setdefault(data[f : f + c - 1 + window], []).append((doc_id, x, f, c, silent))
+                first, count = np.frombuffer(found, np.int32), np.frombuffer(sizes, np.int32)
+                anchor = anchors_of(data, first.astype(np.int64), rolling, window, area) - first
+                for f, c, at in zip(first.tolist(), count.tolist(), anchor.tolist()):
+                    places.setdefault(data[f : f + c - 1 + window], []).append((doc_id, x, f, c, silent, at))
             if not places:
                 continue
             segs = list(places)
-            lead = []
-            for seg in segs:
-                # the anchor is where the last window's least gram stands; all windows of the segment name it
-                data = np.frombuffer(seg, np.uint8)
-                if rolling is None or len(rolling.up) <= len(data):
-                    rolling = Rolling(max(len(data), 4096) + 1)
-                last = len(seg) - window
-                i = np.arange(last, last + area - gram + 1)
-                at = last + int(np.argmin(mix(rolling.of(rolling.sums(data), i, i + gram)) >> np.uint64(21)))
-                lead.append(seg[at : at + LEAD])
             out = []
-            for seg, l in zip(segs, lead):
+            for seg in segs:
                 own = places[seg]
                 multi = len(own) > 1
-                doc_id, x, f, c, silent = own[0]
-                out.append((doc_id, x, f, c, l, seg, multi or silent, silent or multi, None))
+                doc_id, x, f, c, silent, at = own[0]
+                out.append((doc_id, x, f, c, seg[at : at + LEAD], seg, at, multi or silent, silent or multi, None))
                 if multi:
-                    for doc_id, x, f, c, silent in own:
+                    for doc_id, x, f, c, silent, at in own:
                         if not silent:
-                            out.append((doc_id, x, None, None, None, None, None, None, np.array([f, f + c - 1 + window], np.int64).tobytes()))
-            types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.bool_(), pa.bool_(), pa.binary()]
+                            out.append((doc_id, x, None, None, None, None, None, None, None, np.array([f, f + c - 1 + window], np.int64).tobytes()))
+            types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int32(), pa.bool_(), pa.bool_(), pa.binary()]
             for lo in range(0, len(out), 4096):
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out[lo : lo + 4096]], t) for k, t in enumerate(types)], names=[c.split()[0] for c in SEGMENT.split(", ")])
 
     open_ = state.filter("z IS NOT NULL").select("doc_id", "x", "z", "runs", "sizes", "silent").dropDuplicates(["doc_id", "x"])
     segs = materialize(open_.mapInArrow(segments, SEGMENT), "segments")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    own = segs.filter("seg IS NOT NULL").select("doc_id", "x", "first", "count", "lead", "seg", "multi", "silent")
+    own = segs.filter("seg IS NOT NULL").select("doc_id", "x", "first", "count", "lead", "seg", "anchor", "multi", "silent")
     crowded = materialize(own.groupBy("lead").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot).select("lead"), "leads")
 
     def bucket(batches):
@@ -194,18 +268,14 @@ def dedup(docs: DataFrame, window: int = WINDOW, text_col: str = "text", id_col:
         of = np.array([index.setdefault(s, len(index)) for s in segs])
         sure = np.bincount(of, minlength=len(index)) > 1
         np.logical_or.at(sure, of, np.array(multi))
-        distinct = list(index)
-        data = np.frombuffer(b"".join(distinct), np.uint8)
-        base = np.r_[0, np.cumsum([len(s) for s in distinct])]
-        many = np.array([len(s) - window + 1 for s in distinct])
-        starts = np.repeat(base[:-1] - np.r_[0, np.cumsum(many)[:-1]], many) + np.arange(many.sum())
-        yes = repeats(data, starts, window)
-        ends = np.r_[0, np.cumsum(many)]
+        anchors = np.zeros(len(index), np.int64)
+        anchors[of] = t.column("anchor").to_numpy()
+        yes = repeats(list(index), anchors, window, area)
         out = []
         for k, d in enumerate(of.tolist()):
             if silent[k]:
                 continue
-            hit = np.ones(count[k], bool) if sure[d] else yes[ends[d] : ends[d + 1]]
+            hit = np.ones(count[k], bool) if sure[d] else yes[d]
             out += [(ids[k], xs[k], a, z) for a, z in _covers(int(first[k]), hit, window)]
             if len(out) >= 4096:
                 yield _cover_rows(out)
