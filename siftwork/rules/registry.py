@@ -154,6 +154,16 @@ def lint(facts: Facts, only: Iterable[str] | None = None, off: Iterable[str] = (
     return other.unionByName(raised.join(explained, ["doc_id", "file", "line"], "left_anti"))
 
 
+def reconcile(early: DataFrame, late: DataFrame) -> DataFrame:
+    """Findings of a sketch and of the run that followed: state is confirmed, retracted or new."""
+    key = ["doc_id", "code", "file", "line", "col"]
+    a = early.select(*key).distinct().withColumn("__e", F.lit(True))
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in key]
+    found = late.alias("a").join(a.alias("b"), same, "left").select("a.*", F.when(F.col("b.__e"), "confirmed").otherwise("new").alias("state"))
+    gone = early.alias("a").join(late.select(*key).distinct().alias("b"), same, "left_anti").withColumn("state", F.lit("retracted"))
+    return found.unionByName(gone)
+
+
 def ordered(findings: DataFrame) -> DataFrame:
     """Findings by document and place, gravest first at one place."""
     rank = F.array_position(F.array(*[F.lit(s) for s in SEVERITIES]), F.col("severity"))

@@ -70,6 +70,13 @@ def lines(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> Da
     return docs.select(F.col(id_col).alias("doc_id"), parts).select("doc_id", F.lit("document").alias("file"), (F.col("__i") + 1).alias("line"), "text")
 
 
-def documents(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
-    """(path, text): whole files under a path, decoded; what can't be decoded becomes U+FFFD."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", F.decode("content", encoding).alias("text"))
+def documents(spark: SparkSession, path: str, encoding: str = "utf-8") -> DataFrame:
+    """(path, text, replaced): whole files under a path, decoded; what can't be decoded becomes U+FFFD and is counted."""
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
+
+    def run(batches):
+        for pdf in batches:
+            text = [bytes(c).decode(encoding, "replace") for c in pdf["content"]]
+            yield pdf[["path"]].assign(text=text, replaced=[t.count("\ufffd") for t in text])
+
+    return rows.mapInPandas(run, "path string, text string, replaced long")
