@@ -29,6 +29,8 @@ from siftwork.plans.shared import materialize
 WINDOW, END = 2048, 1
 #: Padding that a greedily filled window may keep before its pieces are laid end to end instead.
 SLACK = 8
+#: Most cut pieces (about 100 bytes each) that are sent to all executors.
+CUT_ROWS = 50_000
 
 
 def tokenizer_path() -> str:
@@ -256,7 +258,9 @@ def pack(docs: DataFrame, window: int = WINDOW, text_col: str = "text", id_col:
             found = [crc(unpack(x)[s : s + n]) for x, s, n in zip(b.column("ids").to_pylist(), b.column("start").to_pylist(), b.column("length").to_pylist())]
             yield b.drop_columns(["ids"]).set_column(b.schema.names.index("ids_crc32"), "ids_crc32", pa.array(found, pa.int64()))
 
-    known = cut.join(tokens.select("task", "row", "ids"), ["task", "row"]).select(*small.columns, "ids").mapInArrow(sums, small.schema)
+    # at most one piece in `window` tokens of the stretch is cut, in two: few enough to send, or a plain join
+    few = 2 * int((rest * np.arange(window)).sum() // window + 1) <= CUT_ROWS
+    known = tokens.select("task", "row", "ids").join(F.broadcast(cut) if few else cut, ["task", "row"]).select(*small.columns, "ids").mapInArrow(sums, small.schema)
     columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "task", "row"]
     pieces = whole.select(columns).unionByName(small.filter("ids_crc32 IS NOT NULL").select(columns)).unionByName(known.select(columns))
     return pieces, tokens
