@@ -13,6 +13,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _SET: dict[str, str] = {}
+#: Folders that go when the driver ends.
+_OWN: set[str] = set()
 #: Drops an execution's shuffle files when it ends.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -28,10 +30,21 @@ def shared_dir(spark: SparkSession) -> str:
     return _SET[app]
 
 
+def _file_system(spark: SparkSession, path: str):
+    return spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+
 def materialize(df: DataFrame, name: str = "step") -> DataFrame:
-    """Writes `df` as Parquet in the shared folder and reads it back; its path is in `df.shared_path`."""
+    """Writes `df` as Parquet in the shared folder and reads it back; its path is in `df.shared_path`.
+
+    What is still there when the driver ends is deleted then.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/siftwork/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+    folder = f"{shared_dir(spark)}/siftwork/{spark.sparkContext.applicationId}"
+    path = f"{folder}/{name}-{uuid.uuid4().hex[:12]}"
+    if folder not in _OWN:
+        _file_system(spark, folder).deleteOnExit(spark._jvm.org.apache.hadoop.fs.Path(folder))
+        _OWN.add(folder)
     clean, was = CLEANUP, spark.conf.get(CLEANUP, None)
     spark.conf.set(clean, "true")  # the written table stands for the shuffles that made it
     try:
@@ -47,6 +60,4 @@ def release(df: DataFrame) -> None:
     """Deletes a table of `materialize` that no later plan reads."""
     path = getattr(df, "shared_path", None)
     if path:
-        jvm = df.sparkSession._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+        _file_system(df.sparkSession, path).delete(df.sparkSession._jvm.org.apache.hadoop.fs.Path(path), True)
