@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from siftwork.llm.base import texts
 from siftwork.llm.recurring import Rolling, least, mix, run_places, runs, unsqueeze, with_hits
-from siftwork.plans.shared import materialize
+from siftwork.plans.shared import materialize, release
 
 WINDOW, GRAM = 13, 5
 #: Most characters of phrases (and four times as many of documents) in one shard, but for a single document with more.
@@ -165,6 +165,9 @@ def dedup(docs: DataFrame, window: int = WINDOW, text_col: str = "text", id_col:
     owners = each.groupBy("h", "l").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("other")).filter("owner < other").select("h", "l", "owner")
     owners = materialize(owners, "owners")
     later = each.join(owners, ["h", "l"]).filter("owner < doc_id").groupBy("doc_id", "x").agg(F.array_sort(F.collect_list(F.struct("at", "owner"))).alias("shared"))
+    later = materialize(later, "later")
+    release(each)
+    release(owners)
     todo = state.filter("z IS NOT NULL").select("doc_id", "x", "z").join(later, ["doc_id", "x"], "left")
 
     def finish(batches):
