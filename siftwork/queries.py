@@ -129,7 +129,7 @@ def last_wins(spark, sf_dir):
     return ordered.last_wins(rows, ["o_custkey"], ["o_orderdate", "o_orderkey"]).select("o_custkey", "o_orderkey")
 
 
-@register("shares_of_total", "SELECT l_returnflag || l_linestatus AS k, sum(cast(l_quantity AS BIGINT)) AS amount FROM lineitem GROUP BY 1 HAVING sum(cast(l_quantity AS BIGINT)) >= 0.15 * (SELECT sum(cast(l_quantity AS BIGINT)) FROM lineitem)")
+@register("shares_of_total", "SELECT l_returnflag || l_linestatus AS k, cast(sum(cast(l_quantity AS BIGINT)) AS BIGINT) AS amount FROM lineitem GROUP BY 1 HAVING sum(cast(l_quantity AS BIGINT)) >= 0.15 * (SELECT sum(cast(l_quantity AS BIGINT)) FROM lineitem)")
 def shares_of_total(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").select(F.concat("l_returnflag", "l_linestatus").alias("k"), F.col("l_quantity").cast("long").alias("q"))
     return ordered.shares(rows, "k", "q", 0.15).select("k", "amount")
@@ -404,12 +404,12 @@ def token_kinds(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.regexp_count("text", F.lit(clones.TOKEN)).cast("long").alias("tokens")).filter("tokens > 0")
 
 
-@register("clone_windows", "WITH w AS (SELECT doc_id, string_split(text, ' ') AS s FROM documents), p AS (SELECT doc_id, unnest(list_distinct([array_to_string(s[i:i+7], ' ') FOR i IN range(1, len(s) - 6)])) AS k FROM w WHERE len(s) >= 8) SELECT count(*) AS windows, sum(n) AS places FROM (SELECT k, count(*) AS n FROM p GROUP BY k HAVING count(*) > 1)")
+@register("clone_windows", "WITH w AS (SELECT doc_id, string_split(text, ' ') AS s FROM documents), p AS (SELECT doc_id, unnest(list_distinct([array_to_string(s[i:i+7], ' ') FOR i IN range(1, len(s) - 6)])) AS k FROM w WHERE len(s) >= 8) SELECT count(*) AS windows, cast(sum(n) AS BIGINT) AS places FROM (SELECT k, count(*) AS n FROM p GROUP BY k HAVING count(*) > 1)")
 def clone_windows(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select(F.split("text", " ").alias("s")).filter(F.size("s") >= 8)
     keys = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("s") - 7), lambda i: F.xxhash64(F.array_join(F.slice("s", i, F.lit(8)), " "))))
     rows = rows.select(F.explode(keys).alias("k")).groupBy("k").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    return rows.agg(F.count(F.lit(1)).alias("windows"), F.sum("n").cast("decimal(38,0)").alias("places"))
+    return rows.agg(F.count(F.lit(1)).alias("windows"), F.sum("n").cast("long").alias("places"))
 
 
 @register("clone_runs")
@@ -446,10 +446,10 @@ def line_diff(spark, sf_dir):
     return rewrite.diff(d, d.withColumn("text", F.regexp_replace("text", "idiot", "person")))
 
 
-@register("paragraphs", "WITH l AS (SELECT conv_id, turn, trim(text) AS t FROM conversations) SELECT conv_id, count(*) AS lines, sum(length(t)) AS chars FROM l WHERE t <> '' GROUP BY conv_id")
+@register("paragraphs", "WITH l AS (SELECT conv_id, turn, trim(text) AS t FROM conversations) SELECT conv_id, count(*) AS lines, cast(sum(length(t)) AS BIGINT) AS chars FROM l WHERE t <> '' GROUP BY conv_id")
 def paragraphs(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").select("conv_id", F.trim("text").alias("t")).filter("t <> ''")
-    return rows.groupBy("conv_id").agg(F.count(F.lit(1)).alias("lines"), F.sum(F.length("t")).cast("decimal(38,0)").alias("chars"))
+    return rows.groupBy("conv_id").agg(F.count(F.lit(1)).alias("lines"), F.sum(F.length("t")).cast("long").alias("chars"))
 
 
 @register("incremental_counts", "SELECT doc_id, len(string_split(text, ' ')) AS words FROM documents")
