@@ -16,9 +16,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-#: A run of 16 or more token characters with a digit, or a value given to a password-like name.
-CANDIDATE = r"(?<![A-Za-z0-9_+/=\-])(?=[A-Za-z_+/\-]*+[0-9])[A-Za-z0-9_+/\-]{16,}+={0,2}|\b(?i:password|passwd|pwd|secret)\s{0,2}[:=]\s{0,2}[\"']?[^\s\"']{8,}"
-ASSIGNED = r"^(?i:password|passwd|pwd|secret)\s{0,2}[:=]\s{0,2}[\"']?"
+#: A password-like name, which may end a longer one, and what stands between it and its value.
+NAME = r"(?i:password|passwd|pwd|secret)"
+SETTER = r"[\"']?\s{0,2}[:=]\s{0,2}[\"']?"
+#: 16 or more token characters with a digit.
+RUN = r"(?=[A-Za-z_+/\-]*+[0-9])[A-Za-z0-9_+/\-]{16,}+"
+#: A run that isn't itself such a name before its value, or the value given to such a name. A longer name leaves a value that is one run to the first form.
+CANDIDATE = rf"(?<![A-Za-z0-9_+/\-]){RUN}(?:(?<!{NAME})|(?!{SETTER}[^\s\"']{{8,}}))(?:={{1,2}}+(?![A-Za-z0-9_+/\-]))?|(?=[PpSs])(?:\b|(?!{NAME}{SETTER}{RUN}={{0,2}}(?:[\s\"'&;,]|$))){NAME}{SETTER}[^\s\"']{{8,}}"
+ASSIGNED = rf"^{NAME}{SETTER}"
 CONTEXT = 60
 THRESHOLD = 0.5
 MASK = "[SECRET]"
@@ -40,9 +45,12 @@ def candidates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id")
     cut = rows.withColumn("__found", F.regexp_extract_all("__text", F.lit(CANDIDATE), F.lit(0))).filter(F.size("__found") > 0)
     cut = cut.select(id_col, F.monotonically_increasing_id().alias("__row"), "__found", F.split("__text", CANDIDATE, -1).alias("__rest"))
     n = F.size("__found")
-    zipped = F.arrays_zip(F.col("__found").alias("found"), F.slice("__rest", F.lit(1), n).alias("ahead"), F.slice("__rest", F.lit(2), n).alias("behind"))
+    # a candidate that the next one is assigned to is its name, and stands before it
+    names = F.concat(F.array(F.lit("")), F.col("__found"))
+    zipped = F.arrays_zip(F.col("__found").alias("found"), F.slice(names, F.lit(1), n).alias("name"), F.slice("__rest", F.lit(1), n).alias("ahead"), F.slice("__rest", F.lit(2), n).alias("behind"))
     each = cut.select(id_col, "__row", F.posexplode(zipped).alias("__i", "__x"))
-    each = each.select(id_col, "__row", "__i", F.col("__x.found").alias("found"), F.length("__x.ahead").alias("gap"), F.right("__x.ahead", F.lit(CONTEXT)).alias("before"), F.left("__x.behind", F.lit(CONTEXT)).alias("after"))
+    ahead = F.when(F.col("__x.ahead").rlike(f"^{SETTER}$"), F.concat("__x.name", "__x.ahead")).otherwise(F.col("__x.ahead"))
+    each = each.select(id_col, "__row", "__i", F.col("__x.found").alias("found"), F.length("__x.ahead").alias("gap"), F.right(ahead, F.lit(CONTEXT)).alias("before"), F.left("__x.behind", F.lit(CONTEXT)).alias("after"))
     # where a candidate starts is a running sum over its own row
     w = W.partitionBy("__row").orderBy("__i").rowsBetween(W.unboundedPreceding, 0)
     name = F.regexp_extract("found", ASSIGNED, 0)

@@ -102,6 +102,20 @@ def test_secret_kinds(spark, forest):
     assert {r["doc_id"] for r in secrets.scan(df, forest).filter("is_secret").collect()} == set(range(len(yes)))
 
 
+def test_secret_forms(spark, forest):
+    """Values right behind '=', and names with a prefix, digits or a closing quote."""
+    h = "9f8e7d6c5b4a39281706f5e4d3c2b1a098765432"
+    aws = "wJalrXUtnFEMI/K7MDENG/bPxRfiCYzzzzzzzKEY1"
+    google = "AIzaSyD4x9Kq2LmN8pRt6VwXy0ZaBcDeFgHiJkL"
+    forms = [("api_key=", h, ""), ("token=", "ghp_0123456789abcdefABCDEF0123456789abcd", ""), ("AWS_SECRET_ACCESS_KEY=", aws, ""), ("AWS2_SECRET_ACCESS_KEY=", aws, ""), ("client_secret=", h[:32], "&a=b"), ("export TOKEN=", h, ""), ("https://maps.site.net/api?key=", google, ""), ("DB_PASSWORD=", "hunter2hunter2", ""), ("MYSQL_PASSWORD: ", "hunter2hunter2", ""), ("MYSQL8_ROOT_PASSWORD=", "hunter2hunter2", ""), ('{"password": "', "abc12345!", '"}'), ('"client_secret": "', h, '",'), ("client_secret: ", h, ";")]
+    df = spark.createDataFrame([(i, "".join(x)) for i, x in enumerate(forms)], "doc_id long, text string")
+    found = {(r["doc_id"], r["start"], r["value"]) for r in secrets.scan(df, forest).filter("is_secret").collect()}
+    assert found == {(i, len(a), v) for i, (a, v, _) in enumerate(forms)}
+    assert {r["doc_id"]: r["text"] for r in secrets.redact(df, forest).collect()} == {i: a + secrets.MASK + z for i, (a, _, z) in enumerate(forms)}
+    no = spark.createDataFrame([(0, f"digest={h}"), (1, "order=4845168114407329")], "doc_id long, text string")
+    assert [r["is_secret"] for r in secrets.scan(no, forest).collect()] == [False, False]
+
+
 def test_forest_on_held_out_findings(spark):
     f = secrets.labelled_findings(spark)
     part = F.pmod(F.xxhash64("value", "before"), F.lit(4)) == 0
