@@ -101,9 +101,16 @@ def sarif_results(findings: DataFrame) -> DataFrame:
 
 
 def sarif(findings: DataFrame, tool: str = "siftwork", most: int = 25_000) -> str:
-    """One SARIF file of the first `most` findings, the format's usual bound on a run."""
-    results = ",".join(r["value"] for r in sarif_results(findings).limit(most).collect())
-    return '{"version":"2.1.0","$schema":"https://json.schemastore.org/sarif-2.1.0.json","runs":[{"tool":{"driver":{"name":"' + tool + '"}},"results":[' + results + "]}]}"
+    """One SARIF file of all findings in order, in runs of `most`, the format's usual bound on a run.
+
+    The file is one text, so the driver holds it; `sarif_results` stays distributed.
+    """
+    from siftwork.rules.registry import ordered
+
+    results = [r["value"] for r in sarif_results(ordered(findings)).collect()]
+    runs = [results[i : i + most] for i in range(0, len(results), most)] or [[]]
+    head = '{"tool":{"driver":{"name":"' + tool + '"}},"results":['
+    return '{"version":"2.1.0","$schema":"https://json.schemastore.org/sarif-2.1.0.json","runs":[' + ",".join(head + ",".join(r) + "]}" for r in runs) + "]}"
 
 
 def statistics(findings: DataFrame) -> DataFrame:

@@ -167,3 +167,15 @@ def test_incremental_equals_full(spark, tmp_path):
     two.write.parquet(str(tmp_path / "in"), mode="append")
     watch(*args).awaitTermination()
     assert sorted(map(tuple, latest(spark, str(tmp_path / "out")).select("doc_id", "w").collect())) == sorted([(1, "a"), (1, "b"), (2, "d"), (2, "e"), (3, "x"), (4, "")])
+
+
+def test_sarif_has_all_findings(spark):
+    """More findings than fit a run go on in further runs, in order."""
+    import json
+
+    found = lint(text(spark, "\n".join(["a  b"] * 5)), ["S004"])
+    runs = json.loads(sinks.sarif(found, most=2))["runs"]
+    line = lambda x: x["locations"][0]["physicalLocation"]["region"]["startLine"]
+    assert [[line(x) for x in r["results"]] for r in runs] == [[1, 2], [3, 4], [5]]
+    assert json.loads(sinks.sarif(found.limit(0)))["runs"][0]["results"] == []
+    assert len(json.loads(sinks.sarif(found))["runs"]) == 1
