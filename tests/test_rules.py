@@ -179,3 +179,11 @@ def test_sarif_has_all_findings(spark):
     assert [[line(x) for x in r["results"]] for r in runs] == [[1, 2], [3, 4], [5]]
     assert json.loads(sinks.sarif(found.limit(0)))["runs"][0]["results"] == []
     assert len(json.loads(sinks.sarif(found))["runs"]) == 1
+
+
+def test_statistics_count_every_rule_on_lines(spark, small):
+    """The clone rule reads lines alone too."""
+    from siftwork.queries import lint_statistics
+
+    found = {r["code"]: r["findings"] for r in lint_statistics(spark, small).collect()}
+    assert found["clones"] > 0
