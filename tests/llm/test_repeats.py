@@ -27,9 +27,9 @@ def slow_phrases(rows, window=13):
     return sorted(out, key=str)
 
 
-def slow_bytes(rows, window=400):
+def covered(data, window):
+    """By text, which bytes a repeated string of so many bytes covers."""
     count = {}
-    data = [(i, (t or "").encode()) for i, t in rows]
     for i, d in data:
         if i is not None:
             for k in range(len(d) - window + 1):
@@ -42,8 +42,16 @@ def slow_bytes(rows, window=400):
             for k in range(len(d) - window + 1):
                 if count[hash(d[k : k + window])] > 1:
                     gone[k : k + window] = True
+        out.append(gone)
+    return out
+
+
+def slow_bytes(rows, window=400, short=240):
+    data = [(i, (t or "").encode()) for i, t in rows]
+    out = []
+    for (i, d), gone, again in zip(data, covered(data, window), covered(data, short)):
         spans = int((np.diff(np.r_[0, gone.astype(int)]) == 1).sum())
-        out.append((i, len(d), int(gone.sum()), spans, hashlib.sha256(np.frombuffer(d, np.uint8)[~gone].tobytes()).hexdigest()))
+        out.append((i, len(d), int(gone.sum()), spans, hashlib.sha256(np.frombuffer(d, np.uint8)[~gone].tobytes()).hexdigest(), int(again.sum())))
     return sorted(out, key=str)
 
 
@@ -52,7 +60,7 @@ def got(df, names):
 
 
 PHRASES = ("doc_id", "n_words", "n_removed", "kept_sha256")
-BYTES = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+BYTES = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_recurring")
 
 
 def made(seed, n=60):
@@ -92,14 +100,34 @@ def test_made_texts(spark, seed):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     assert got(phrases.dedup(df), PHRASES) == slow_phrases(rows)
     assert got(suffixes.dedup(df), BYTES) == slow_bytes(rows)
-    # leads that are common enough to be compared across buckets
-    assert got(suffixes.dedup(df, hot=1), BYTES) == slow_bytes(rows)
+
+
+def test_across_buckets(spark, monkeypatch):
+    """Every boundary cuts classes of equal windows: what a bucket can't see decides most of the result."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("ab\0") for _ in range(6))
+    passage = " ".join(word() for _ in range(80))
+    rows = []
+    for i in range(150):
+        a, z = sorted((rng.randrange(len(passage)), rng.randrange(len(passage))))
+        near = " ".join(rng.choice(("aaaaaa", "bbbbbb")) for _ in range(rng.randrange(60)))
+        rows.append((i, near + passage[: z if i % 3 else None] + near[::-1] if i % 2 else passage[a:] + near))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        assert got(suffixes.dedup(df), BYTES) == slow_bytes(rows)
+        assert got(suffixes.dedup(df, 64, 64), BYTES) == slow_bytes(rows, 64, 64)
+        monkeypatch.setattr(suffixes, "_messages", lambda *a: iter(()))
+        assert got(suffixes.dedup(df), BYTES) != slow_bytes(rows)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
 
 
 def test_other_windows(spark):
     rows = made(3, 30)
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert got(suffixes.dedup(df, window=64), BYTES) == slow_bytes(rows, 64)
+    assert got(suffixes.dedup(df, window=64, short=50), BYTES) == slow_bytes(rows, 64, 50)
     assert got(phrases.dedup(df, window=6), PHRASES) == slow_phrases(rows, 6)
 
 
@@ -107,7 +135,8 @@ def test_odd_rows(odd, none):
     rows = [(r["doc_id"], r["text"]) for r in odd.collect() if r["doc_id"] != 7]
     some = odd.filter("doc_id IS NULL OR doc_id <> 7")
     assert got(phrases.op9_phrases(some), PHRASES) == slow_phrases(rows)
-    assert got(suffixes.op3_suffixes(some), BYTES) == slow_bytes(rows)
+    everything = [(r["doc_id"], r["text"]) for r in odd.collect()]
+    assert got(suffixes.op3_suffixes(odd), BYTES) == slow_bytes(everything)
     assert phrases.op9_phrases(none).count() == 0 and suffixes.op3_suffixes(none).count() == 0
 
 
