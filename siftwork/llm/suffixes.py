@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftwork.llm.base import texts
-from siftwork.llm.recurring import Rolling, _spans, blocks, least, mix, runs, unsqueeze, with_hits
+from siftwork.llm.recurring import Rolling, blocks, least, mix, runs, spans, unsqueeze, with_hits
 from siftwork.plans.shared import materialize
 
 #: Bytes of a string that is removed, of a shorter one that is only counted, and of a gram.
@@ -219,7 +219,8 @@ def covers(yes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.nda
     return of, start - reach, stop - 1 - reach + window
 
 
-SEGMENT = "doc_id long, x long, first int, count int, seg binary, anchor int, silent boolean"
+#: A segment, or, without bytes, runs of bytes that repeat: start and stop by run.
+SEGMENT = "doc_id long, x long, first int, count int, seg binary, anchor int, silent boolean, long boolean, covers binary"
 #: kind 0: bytes of a text that repeat; 1: hashes of windows and their places, to be compared across buckets; 2: hashes without a place.
 FOUND = "kind int, bucket int, doc_id long, x long, start long, stop long, long boolean, keys binary, places binary"
 COVER = "doc_id long, x long, start long, stop long, long boolean"
@@ -236,11 +237,27 @@ def _rows(out: list[tuple], types: list, names: list[str], step: int = 4096) ->
 
 
 _I, _B = pa.int64(), pa.binary()
-SEGMENT_TYPES = [_I, _I, pa.int32(), pa.int32(), _B, pa.int32(), pa.bool_()]
+SEGMENT_TYPES = [_I, _I, pa.int32(), pa.int32(), _B, pa.int32(), pa.bool_(), pa.bool_(), _B]
 FOUND_TYPES = [pa.int32(), pa.int32(), _I, _I, _I, _I, pa.bool_(), _B, _B]
 RESULT_TYPES = [_I, _I, _I, _I, pa.string(), _I]
 
 
+def touching(runs_: np.ndarray) -> np.ndarray:
+    """Runs (start, stop) in order, those that touch made one."""
+    runs_ = runs_[np.argsort(runs_[:, 0], kind="stable")]
+    far = np.maximum.accumulate(runs_[:, 1])
+    new = np.flatnonzero(np.r_[True, runs_[1:, 0] > far[:-1]])
+    return np.stack([runs_[new, 0], far[np.r_[new[1:], len(runs_)] - 1]], axis=1)
+
+
+def _unpack_covers(batches):
+    for b in batches:
+        each = [np.frombuffer(c, np.int64).reshape(-1, 2) for c in b.column(3).to_pylist()]
+        of = np.repeat(np.arange(len(each)), [len(e) for e in each])
+        pair = np.concatenate(each) if each else np.empty((0, 2), np.int64)
+        yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(of)), b.column(1).take(pa.array(of)), pa.array(pair[:, 0]), pa.array(pair[:, 1]), b.column(2).take(pa.array(of))], names=_names(COVER))
+
+
 def splitters(segs: DataFrame, parts: int) -> list[tuple[bytes, bytes]]:
     """At most parts - 1 segments, as bytes from the anchor on and bytes before it backwards, that cut the table evenly; from some SAMPLE * parts rows."""
     total = segs.count()
@@ -302,18 +319,22 @@ def dedup(docs: DataFrame, window: int = WINDOW, short: int = SHORT, text_col: s
                 anchor = anchors_of(data, first.astype(np.int64), rolling, short, area) - first
                 for f, c, at in zip(first.tolist(), count.tolist(), anchor.tolist()):
                     places.setdefault((data[f : f + c - 1 + window], c, at), []).append((doc_id, x, f, silent))
-            out = []
+            out, sure = [], {}
             for (seg, c, at), own in places.items():
                 doc_id, x, f, silent = own[0]
-                out.append((doc_id, x, f, c, seg, at, silent or len(own) > 1))
-                if len(own) > 1:
-                    out += [(d, y, g, c, None, len(seg), False) for d, y, g, quiet in own if not quiet]
+                out.append((doc_id, x, f, c, seg, at, silent or len(own) > 1, None, None))
+                for d, y, g, quiet in own if len(own) > 1 else ():
+                    if not quiet:
+                        sure.setdefault((d, y, False), []).append((g, g + c - 1 + short))
+                        if len(seg) >= window:
+                            sure.setdefault((d, y, True), []).append((g, g + min(c - 1 + window, len(seg))))
+            out += [(d, y, None, None, None, None, None, long, touching(np.array(runs_, np.int64)).tobytes()) for (d, y, long), runs_ in sure.items()]
             yield from _rows(out, SEGMENT_TYPES, _names(SEGMENT))
 
     # copies of one text in several batches send one source
     open_ = state.filter("z IS NOT NULL").select("doc_id", "x", "z", "runs", "sizes", "silent").dropDuplicates(["doc_id", "x"])
     every = materialize(open_.mapInArrow(segments, SEGMENT), "segments")
-    segs = every.filter("seg IS NOT NULL")
+    segs = every.filter("seg IS NOT NULL").select("doc_id", "x", "first", "count", "seg", "anchor", "silent")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     cuts = splitters(segs, n)
 
@@ -328,7 +349,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, short: int = SHORT, text_col: s
             return
         t = pa.Table.from_batches(held).sort_by("bucket")
         number = t.column("bucket").to_numpy()
-        for lo, hi in _spans(number):
+        for lo, hi in spans(number):
             yield from one(t.slice(lo, hi - lo), int(number[lo]))
 
     def one(t: pa.Table, number: int):
@@ -351,7 +372,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, short: int = SHORT, text_col: s
                 yield pa.RecordBatch.from_arrays([pa.array(np.zeros(k, np.int32)), pa.nulls(k, pa.int32()), pa.array(ids[o]), pa.array(xs[o]), pa.array(p + start[lo : lo + 8192]), pa.array(p + stop[lo : lo + 8192]), pa.array(np.full(k, long)), pa.nulls(k, _B), pa.nulls(k, _B)], names=_names(FOUND))
             yield from _messages(bucket, open_, size, long, loud, np.stack([ids, xs, first + anchors]), 4 * n)
 
-    dealt = segs.mapInArrow(deal, SEGMENT + ", bucket int").repartitionByRange(n, "bucket")
+    dealt = segs.mapInArrow(deal, "doc_id long, x long, first int, count int, seg binary, anchor int, silent boolean, bucket int").repartitionByRange(n, "bucket")
     found = materialize(dealt.mapInArrow(compare, FOUND), "found")
 
     def resolve(batches):
@@ -379,13 +400,9 @@ def dedup(docs: DataFrame, window: int = WINDOW, short: int = SHORT, text_col: s
         last = np.r_[new[1:], len(at)][: len(new)] - 1
         yield pa.RecordBatch.from_arrays([pa.array(p[0, new]), pa.array(p[1, new]), pa.array(p[2, new]), pa.array(p[2, last] + np.where(g[last], window, short)), pa.array(g[new])], names=_names(COVER))
 
-    sure = every.filter("seg IS NULL").select("doc_id", "x", "first", "count", "anchor")
-    first, last = F.col("first").cast("long"), (F.col("first") + F.col("count") - 1).cast("long")
-    end = first + F.col("anchor")  # of the bytes that the equal segments share
-    sure_short = sure.select("doc_id", "x", first.alias("start"), (last + short).alias("stop"), F.lit(short == window).alias("long"))
-    sure_long = sure.filter(end - first >= window).select("doc_id", "x", first.alias("start"), F.least(last + window, end).alias("stop"), F.lit(True).alias("long"))
+    sure = every.filter("seg IS NULL").select("doc_id", "x", "long", "covers").mapInArrow(_unpack_covers, COVER)
     across = found.filter("kind > 0").select("bucket", "long", "keys", "places").repartition(n, "bucket").mapInArrow(resolve, COVER)
-    cover = found.filter("kind = 0").select("doc_id", "x", "start", "stop", "long").unionByName(sure_short).unionByName(sure_long).unionByName(across)
+    cover = found.filter("kind = 0").select("doc_id", "x", "start", "stop", "long").unionByName(sure).unionByName(across)
     merged = cover.groupBy("doc_id", "x").agg(F.collect_list(F.struct("start", "stop", "long")).alias("covers"))
     todo = state.filter("kept_sha256 IS NULL").select("doc_id", "x", "z").join(merged, ["doc_id", "x"], "left")
 
@@ -399,8 +416,8 @@ def dedup(docs: DataFrame, window: int = WINDOW, short: int = SHORT, text_col: s
                     edge[int(c["long"]), c["start"]] += 1
                     edge[int(c["long"]), c["stop"]] -= 1
                 gone, again = np.cumsum(edge[1, :-1]) > 0, np.cumsum(edge[:, :-1].sum(axis=0)) > 0
-                spans = int((np.diff(np.r_[0, gone.astype(np.int8)]) == 1).sum())
-                out.append((doc_id, len(data), int(gone.sum()), spans, hashlib.sha256(data[~gone].tobytes()).hexdigest(), int(again.sum())))
+                gaps = int((np.diff(np.r_[0, gone.astype(np.int8)]) == 1).sum())
+                out.append((doc_id, len(data), int(gone.sum()), gaps, hashlib.sha256(data[~gone].tobytes()).hexdigest(), int(again.sum())))
             yield from _rows(out, RESULT_TYPES, _names(RESULT), max(1, len(out)))
 
     def whole(batches):
@@ -423,7 +440,7 @@ def _messages(bucket: Bucket, open_: list[tuple[int, int, bool]], window: int, l
         by = np.argsort(to, kind="stable")
         where = place[:, of] - np.stack([0 * ahead, 0 * ahead, ahead])
         out = []
-        for a, z in _spans(to[by]):
+        for a, z in spans(to[by]):
             at = by[a:z]
             quiet = int(to[at[0]]) & 1
             out.append((1 + quiet, int(to[at[0]]) >> 1, None, None, None, None, long, key[at].tobytes(), b"" if quiet else np.ascontiguousarray(where[:, at], np.int64).tobytes()))
