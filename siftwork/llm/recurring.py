@@ -97,6 +97,7 @@ def digest(text_col: str = "text"):
 
 
 MESSAGE = "bucket int, kind int, key binary, who binary, doc binary, first binary, count binary"
+PACKED = "part int, doc binary, first binary, count binary"
 HIT = "doc_id long, x long, first binary, count binary"
 
 
@@ -141,7 +142,7 @@ def hits(docs: DataFrame, anchors, places_count: bool) -> DataFrame:
                 bucket = (key[at] % np.uint64(buckets)).astype(np.int64)
                 at = at[np.argsort(bucket, kind="stable")]
                 bucket = np.sort(bucket)
-                for lo, hi in _spans(bucket):
+                for lo, hi in spans(bucket):
                     k = at[lo:hi]
                     doc = np.stack([ids[item[k]], xs[item[k]]]).astype(np.int64)
                     rows.append((int(bucket[lo]), kind, key[k].tobytes(), who[k].tobytes() if places_count else b"", doc.tobytes() if kind == 0 or not places_count else b"", first[k].astype(np.int32).tobytes() if kind == 0 else b"", count[k].astype(np.int32).tobytes() if kind == 0 else b""))
@@ -178,28 +179,29 @@ def hits(docs: DataFrame, anchors, places_count: bool) -> DataFrame:
             pick = order[np.repeat(again, stop - start + 1) & ~t]
             del k, w, t, order
             local.append((np.concatenate(doc, axis=1)[:, pick], np.concatenate(first)[pick], np.concatenate(count)[pick]))
-        yield from _packed(local, buckets)
-
-    def gather(batches):
-        """One row a document."""
-        local = [(np.frombuffer(d, np.int64).reshape(2, -1), np.frombuffer(f, np.int32), np.frombuffer(c, np.int32)) for b in batches for d, f, c in zip(*(b.column(i).to_pylist() for i in (1, 2, 3)))]
-        if not local:
-            return
-        d, f, c = np.concatenate([x[0] for x in local], axis=1), np.concatenate([x[1] for x in local]), np.concatenate([x[2] for x in local])
-        order = np.lexsort((f, d[1], d[0]))
-        d, f, c = d[:, order], f[order], c[order]
-        cut = np.flatnonzero(np.r_[True, (d[:, 1:] != d[:, :-1]).any(axis=0)])
-        spans = list(zip(cut.tolist(), np.r_[cut[1:], d.shape[1]].tolist()))
-        for lo in range(0, len(spans), 4096):
-            part = spans[lo : lo + 4096]
-            at = [a for a, _ in part]
-            yield pa.RecordBatch.from_arrays([pa.array(d[0, at]), pa.array(d[1, at]), pa.array([f[a:z].tobytes() for a, z in part], pa.binary()), pa.array([c[a:z].tobytes() for a, z in part], pa.binary())], names=["doc_id", "x", "first", "count"])
-
-    found = docs.select("doc_id", "x", "text").mapInArrow(emit, MESSAGE).repartition(n, "bucket").mapInArrow(resolve, "part int, doc binary, first binary, count binary")
+        yield from packed(local, buckets)
+
+    found = docs.select("doc_id", "x", "text").mapInArrow(emit, MESSAGE).repartition(n, "bucket").mapInArrow(resolve, PACKED)
     return found.repartition(n, "part").mapInArrow(gather, HIT)
 
 
-def _packed(local: list[tuple[np.ndarray, np.ndarray, np.ndarray]], parts: int) -> Iterator[pa.RecordBatch]:
+def gather(batches):
+    """HIT rows, one a document, of what `packed` has made."""
+    local = [(np.frombuffer(d, np.int64).reshape(2, -1), np.frombuffer(f, np.int32), np.frombuffer(c, np.int32)) for b in batches for d, f, c in zip(*(b.column(i).to_pylist() for i in (1, 2, 3)))]
+    if not local:
+        return
+    d, f, c = np.concatenate([x[0] for x in local], axis=1), np.concatenate([x[1] for x in local]), np.concatenate([x[2] for x in local])
+    order = np.lexsort((f, d[1], d[0]))
+    d, f, c = d[:, order], f[order], c[order]
+    cut = np.flatnonzero(np.r_[True, (d[:, 1:] != d[:, :-1]).any(axis=0)])
+    each = list(zip(cut.tolist(), np.r_[cut[1:], d.shape[1]].tolist()))
+    for lo in range(0, len(each), 4096):
+        part = each[lo : lo + 4096]
+        at = [a for a, _ in part]
+        yield pa.RecordBatch.from_arrays([pa.array(d[0, at]), pa.array(d[1, at]), pa.array([f[a:z].tobytes() for a, z in part], pa.binary()), pa.array([c[a:z].tobytes() for a, z in part], pa.binary())], names=["doc_id", "x", "first", "count"])
+
+
+def packed(local: list[tuple[np.ndarray, np.ndarray, np.ndarray]], parts: int) -> Iterator[pa.RecordBatch]:
     """Rows (part, doc, first, count): runs of windows by group of documents."""
     if not local:
         return
@@ -207,18 +209,18 @@ def _packed(local: list[tuple[np.ndarray, np.ndarray, np.ndarray]], parts: int)
     part = (mix((d[0] ^ d[1]).view(np.uint64)) % np.uint64(parts)).astype(np.int32)
     order = np.argsort(part, kind="stable")
     part, d, f, c = part[order], d[:, order], f[order], c[order]
-    for a, z in _spans(part):
+    for a, z in spans(part):
         yield pa.RecordBatch.from_arrays([pa.array([int(part[a])], pa.int32()), pa.array([d[:, a:z].tobytes()], pa.binary()), pa.array([f[a:z].tobytes()], pa.binary()), pa.array([c[a:z].tobytes()], pa.binary())], names=["part", "doc", "first", "count"])
 
 
-def _spans(values: np.ndarray) -> list[tuple[int, int]]:
+def spans(values: np.ndarray) -> list[tuple[int, int]]:
     cut = np.flatnonzero(np.r_[True, values[1:] != values[:-1]]) if len(values) else np.empty(0, np.int64)
     return list(zip(cut.tolist(), np.r_[cut[1:], len(values)].astype(int).tolist()))
 
 
 def _by_item(items: np.ndarray) -> Iterator[tuple[int, np.ndarray, int]]:
     order = np.argsort(items, kind="stable")
-    for a, z in _spans(items[order]):
+    for a, z in spans(items[order]):
         yield int(items[order[a]]), order[a:z], z
 
 
@@ -252,9 +254,3 @@ def with_hits(docs: DataFrame, anchors, places_count: bool) -> DataFrame:
 
     z = rows.select("doc_id", "x", "text").mapInArrow(pack, "doc_id long, x long, z binary")
     return z.join(info, ["doc_id", "x"])
-
-
-def run_places(first: bytes, count: bytes) -> np.ndarray:
-    """Window starts of all runs, in order."""
-    first, count = np.frombuffer(first, np.int32).astype(np.int64), np.frombuffer(count, np.int32).astype(np.int64)
-    return np.unique(np.repeat(first - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(count.sum()))

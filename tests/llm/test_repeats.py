@@ -132,14 +132,32 @@ def test_other_windows(spark):
 
 
 def test_odd_rows(odd, none):
-    rows = [(r["doc_id"], r["text"]) for r in odd.collect() if r["doc_id"] != 7]
-    some = odd.filter("doc_id IS NULL OR doc_id <> 7")
-    assert got(phrases.op9_phrases(some), PHRASES) == slow_phrases(rows)
-    everything = [(r["doc_id"], r["text"]) for r in odd.collect()]
-    assert got(suffixes.op3_suffixes(odd), BYTES) == slow_bytes(everything)
+    rows = [(r["doc_id"], r["text"]) for r in odd.collect()]
+    assert got(phrases.op9_phrases(odd), PHRASES) == slow_phrases(rows)
+    assert got(suffixes.op3_suffixes(odd), BYTES) == slow_bytes(rows)
     assert phrases.op9_phrases(none).count() == 0 and suffixes.op3_suffixes(none).count() == 0
 
 
+def test_long_shared_text(spark):
+    """Two texts that share a megabyte, one more with a part of it, and words of a megabyte each."""
+    rng = random.Random(11)
+    shared = " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(150_000))
+    huge = " ".join([c * 1_000_000 for c in "abc"] + ["x"] * 20)
+    rows = [(5, "one " + shared + " two"), (2, "three " + shared + " four"), (9, "five " + shared[300_000:500_000]), (10, huge), (12, "and " + huge)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert got(phrases.dedup(df), PHRASES) == slow_phrases(rows)
+    assert [r["n_removed"] for r in suffixes.dedup(df.filter("doc_id < 10")).orderBy("doc_id").collect()][:2] == [len(shared) + 3] * 2  # 'e ' before, ' ' behind
+
+
+def test_phrases_come_from_the_automaton(spark, monkeypatch):
+    rows = made(4)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(phrases, "SAMPLED", 1)
+    assert got(phrases.dedup(df), PHRASES) == slow_phrases(rows)
+    monkeypatch.setattr(phrases, "locate", lambda p, t, d: (np.empty(0, np.int64),) * 3)
+    assert got(phrases.dedup(df), PHRASES) != slow_phrases(rows)
+
+
 def test_very_long_text(spark):
     rng = random.Random(9)
     long = " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(200_000))
