@@ -331,8 +331,8 @@ def dedup(docs: DataFrame, window: int = WINDOW, short: int = SHORT, text_col: s
             out += [(d, y, None, None, None, None, None, long, touching(np.array(runs_, np.int64)).tobytes()) for (d, y, long), runs_ in sure.items()]
             yield from _rows(out, SEGMENT_TYPES, _names(SEGMENT))
 
-    # copies of one text in several batches send one source
-    open_ = state.filter("z IS NOT NULL").select("doc_id", "x", "z", "runs", "sizes", "silent").dropDuplicates(["doc_id", "x"])
+    # a row that repeats is a silent source; two of them say no more than one
+    open_ = state.filter("z IS NOT NULL").select("doc_id", "x", "z", "runs", "sizes", "silent")
     every = materialize(open_.mapInArrow(segments, SEGMENT), "segments")
     segs = every.filter("seg IS NOT NULL").select("doc_id", "x", "first", "count", "seg", "anchor", "silent")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
