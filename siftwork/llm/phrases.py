@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -30,6 +31,8 @@ WINDOW, GRAM = 13, 5
 SHARD_WORDS = 1 << 20
 #: An anchor with over one in 4 n of all segments, for n partitions, is dealt out by windows; so many segments are counted at most, nearly.
 SAMPLED = 1 << 18
+#: Single windows that a task holds before it sends them.
+SPLIT = 1 << 16
 DIGIT = 64
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -186,6 +189,7 @@ def written(line: np.ndarray, words: int) -> tuple[str, int]:
 
 
 #: Segments of one bucket: keys of 64 bits, holders by segment, (id, text, first word) by holder, and the words.
+#: Without keys: windows that are known to stand in an earlier document, as (ids, texts), first words and counts.
 SEGMENTS = "bucket int, keys binary, holders binary, docs binary, firsts binary, words binary"
 STATE = "doc_id long, x long, n_words long, n_removed long, kept_sha256 string, z binary, runs binary, sizes binary"
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
@@ -219,19 +223,24 @@ def dedup(docs: DataFrame, window: int = WINDOW, text_col: str = "text", id_col:
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.binary()]
     names = ["doc_id", "x", "n_words", "n_removed", "kept_sha256", "z", "runs", "sizes"]
     state = materialize(seen.select("doc_id", "x", "z", "first_id", "runs", "sizes").mapInArrow(first_look, STATE), "looked")
-    open_ = state.filter("z IS NOT NULL").select("doc_id", "x", "z", "runs", "sizes").dropDuplicates(["doc_id", "x"])
+    open_ = state.filter("z IS NOT NULL").select("doc_id", "x", "z", "runs", "sizes")
 
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     segs = materialize(open_.mapInArrow(lambda batches: _segments(batches, window, 4 * n), SEGMENTS), "segments")
     common = _common(segs, n)
 
     def route(batches):
+        places: dict[tuple[int, bytes], list] = {}
         for b in batches:
             keys = b.column("keys").to_pylist()
-            split = np.array([bool(len(common)) and bool(np.isin(np.frombuffer(k, np.uint64), common).any()) for k in keys], bool)
+            split = np.array([bool(k and len(common)) and bool(np.isin(np.frombuffer(k, np.uint64), common).any()) for k in keys], bool)
             yield b.filter(pa.array(~split))
             for row in b.filter(pa.array(split)).to_pylist():
-                yield from _by_window(row, common, window, 4 * n)
+                yield from _packs(_by_window(row, common, window, places), window, 4 * n)
+                if len(places) >= SPLIT:
+                    yield from _packs(places, window, n, 4)
+                    places = {}
+        yield from _packs(places, window, n, 4)
 
     found = segs.mapInArrow(route, SEGMENTS).repartition(n, "bucket").mapInArrow(lambda batches: _shards(batches, window, 4 * n), PACKED)
     later = materialize(found.repartition(n, "part").mapInArrow(gather, HIT), "later")
@@ -263,12 +272,26 @@ def _pack(bucket: int, segs: list[tuple[int, bytes, list[tuple[int, int, int]]]]
     return (bucket, np.array([k for k, _, _ in segs], np.uint64).tobytes(), np.array([len(own) for _, _, own in segs], np.int32).tobytes(), holders[:, :2].tobytes(), holders[:, 2].astype(np.int32).tobytes(), b"\n".join(s for _, s, _ in segs))
 
 
-def _packs(places: dict[tuple[int, bytes], list], buckets: int) -> Iterator[pa.RecordBatch]:
-    """SEGMENTS rows, one a bucket; places are holders by key and words."""
+def _packs(places: dict[tuple[int, bytes], list], window: int, buckets: int, step: int = 1) -> Iterator[pa.RecordBatch]:
+    """SEGMENTS rows, one for every `step`-th bucket; places are holders by key and words.
+
+    Of the holders that meet here only the smallest id goes on: the others have
+    the words from an earlier document, and a row without keys says so. However
+    many hold a passage, a shard hears of one from each task.
+    """
     by: dict[int, list] = {}
+    told: list[tuple[int, int, int, int]] = []
     for (key, words), own in places.items():
-        by.setdefault(key % buckets, []).append((key, words, own))
+        if len(own) > 1:
+            low = min(h[0] for h in own)
+            many = words.count(b" ") + 2 - window
+            told += [(*h, many) for h in own if h[0] > low]
+            own = [h for h in own if h[0] == low]
+        by.setdefault(key % buckets * step, []).append((key, words, own))
     rows = [_pack(bucket, segs) for bucket, segs in by.items()]
+    if told:
+        t = np.array(told, np.int64)
+        rows.append((next(iter(by)), None, t[:, 3].astype(np.int32).tobytes(), t[:, :2].T.tobytes(), t[:, 2].astype(np.int32).tobytes(), None))
     kinds = [pa.int32(), *[pa.binary()] * 5]
     for lo in range(0, len(rows), 256):
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows[lo : lo + 256]], t) for k, t in enumerate(kinds)], names=[c.split()[0] for c in SEGMENTS.split(", ")])
@@ -296,7 +319,7 @@ def _segments(batches, window: int, buckets: int):
             if i != last:
                 last, words = i, data[i].split()
             places.setdefault((k, b" ".join(words[f : f + c + window - 1])), []).append((ids[i], xs[i], f))
-        yield from _packs(places, buckets)
+        yield from _packs(places, window, buckets)
 
 
 def _common(segs: DataFrame, n: int) -> np.ndarray:
@@ -311,31 +334,34 @@ def _common(segs: DataFrame, n: int) -> np.ndarray:
                 lead = np.frombuffer(docs, np.uint64).reshape(-1, 2)[np.r_[0, np.cumsum(np.frombuffer(holders, np.int32))[:-1]]]
                 yield pa.RecordBatch.from_arrays([pa.array(key[mix(lead[:, 0] ^ lead[:, 1] ^ mix(key)) % share == 0].view(np.int64))], names=["key"])
 
-    counts = segs.select("keys", "holders", "docs").mapInArrow(some, "key long").groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    counts = segs.filter("keys IS NOT NULL").select("keys", "holders", "docs").mapInArrow(some, "key long").groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     rows = counts.filter(F.col("n") > max(1, int(total) // int(share) // (4 * n))).select("key").collect()
     return np.array([r["key"] for r in rows], np.int64).view(np.uint64)
 
 
-def _by_window(row: dict, common: np.ndarray, window: int, buckets: int):
-    """A SEGMENTS row with the segments of common keys cut into single windows, each with a key of its own."""
-    places: dict[tuple[int, bytes], list] = {}
+def _by_window(row: dict, common: np.ndarray, window: int, places: dict[tuple[int, bytes], list]) -> dict[tuple[int, bytes], list]:
+    """The segments of a SEGMENTS row but for those of common keys, which are added to `places` cut into single windows, each with a key of its own."""
+    rest = {}
     for key, words, own in _unpack(row):
         if key not in common:
-            places[key, words] = own.tolist()
+            rest[key, words] = own.tolist()
             continue
         split = words.split(b" ")
         for i in range(len(split) - window + 1):
             part = b" ".join(split[i : i + window])
             places.setdefault((xxhash.xxh3_64_intdigest(part), part), []).extend((d, x, f + i) for d, x, f in own.tolist())
-    yield from _packs(places, buckets)
+    return rest
 
 
 def _shards(batches, window: int, parts: int):
     """PACKED rows: the windows that each document has from an earlier one."""
     held: dict[int, list[dict]] = {}
     for b in batches:
-        for row in b.to_pylist():
-            held.setdefault(row["bucket"], []).append(row)
+        rows = b.to_pylist()
+        for row in rows:
+            if row["keys"] is not None:
+                held.setdefault(row["bucket"], []).append(row)
+        yield from packed([(np.frombuffer(r["docs"], np.int64).reshape(2, -1), np.frombuffer(r["firsts"], np.int32), np.frombuffer(r["holders"], np.int32)) for r in rows if r["keys"] is None], parts)
     for bucket in sorted(held):
         segs = sorted((seg for row in held.pop(bucket) for seg in _unpack(row)), key=lambda seg: seg[0])
         words, start = 0, 0
@@ -349,18 +375,22 @@ def _shards(batches, window: int, parts: int):
 
 def _shard(segs: list[tuple[int, bytes, np.ndarray]], window: int, parts: int):
     """Compiles the phrases of a shard and streams its documents' words through the automaton."""
-    ids: dict[bytes, int] = {}
     split = [text.split(b" ") for _, text, _ in segs]
-    size = np.array([len(w) for w in split])
+    size = np.fromiter(map(len, split), np.int64, len(split))
+    words = list(chain.from_iterable(split))
+    ids = {w: k for k, w in enumerate(dict.fromkeys(words), 1)}
     start = np.r_[0, np.cumsum(size + 1)]
     # a zero between two segments stands for no word
     line = np.zeros(start[-1], np.int64)
     inside = np.ones(start[-1], bool)
     inside[start[1:] - 1] = False
-    line[inside] = np.fromiter((ids.setdefault(w, len(ids) + 1) for ws in split for w in ws), np.int64, int(size.sum()))
+    line[inside] = np.fromiter(map(ids.__getitem__, words), np.int64, len(words))
     many = size - window + 1
     at = np.arange(many.sum()) + np.repeat(start[:-1] - np.r_[0, np.cumsum(many)[:-1]], many)
-    low, high = np.array([own[:, 0].min() for _, _, own in segs]), np.array([own[:, 0].max() for _, _, own in segs])
+    holders = np.array([len(own) for _, _, own in segs])
+    own = np.concatenate([own for _, _, own in segs])
+    begin = np.r_[0, np.cumsum(holders)[:-1]]
+    low, high = np.minimum.reduceat(own[:, 0], begin), np.maximum.reduceat(own[:, 0], begin)
     text, digits = written(line, len(ids))
     of = phrases_of(line, at, np.repeat(low, many), np.repeat(high, many), window)
     which, first, last = locate([text[p * digits : (p + k) * digits] for p, k in of], text, digits)
@@ -369,9 +399,6 @@ def _shard(segs: list[tuple[int, bytes, np.ndarray]], window: int, parts: int):
     seg = np.searchsorted(start, first, side="right") - 1
     owner = np.full(len(of), np.iinfo(np.int64).max)
     np.minimum.at(owner, which, low[seg])
-    holders = np.array([len(own) for _, _, own in segs])
-    own = np.concatenate([own for _, _, own in segs])
-    begin = np.r_[0, np.cumsum(holders)[:-1]]
     each = holders[seg]
     row = np.repeat(begin[seg] - np.r_[0, np.cumsum(each)[:-1]], each) + np.arange(each.sum())
     of = np.repeat(np.arange(len(seg)), each)
