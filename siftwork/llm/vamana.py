@@ -1,11 +1,14 @@
 """Approximate nearest neighbours by largest inner product, over robust-pruned directed graphs.
 
 The distinct vectors are dealt into shards of bounded size. In each shard a
-graph is built in batches: a greedy beam search from the entry point proposes
+graph is built in batches: greedy beam searches from the entry points propose
 neighbours for a point, pruning with a relaxed distance keeps diverse edges,
 and reverse edges are pruned likewise. One added coordinate makes all vectors
-equally long, so that the nearest by distance is the largest inner product.
-Queries travel in blocks to every shard; the shards' best are merged.
+equally long, so that the nearest by distance is the largest inner product;
+queries have a zero there. Half of a point's edges are chosen as seen from the
+point itself, which keeps the graph connected, half as seen from the query that
+it would be; where all vectors are equally long these are the same. Queries
+travel in blocks to every shard; the shards' best are merged.
 """
 
 from __future__ import annotations
@@ -15,11 +18,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.types import ArrayType, FloatType
 
 from siftwork.plans.shared import materialize
 
 SHARD, QUERY_BLOCK = 8192, 2048
-DEGREE, BUILD_BEAM, SEARCH_BEAM, RELAX, BATCH, EXPAND = 32, 64, 128, 1.2, 256, 4
+DEGREE, BUILD_BEAM, SEARCH_BEAM, RELAX, BATCH, EXPAND, ENTRIES = 32, 64, 128, 1.2, 256, 4, 32
 
 
 def beam_search(points: np.ndarray, graph: np.ndarray, entries: np.ndarray, queries: np.ndarray, beam: int, expand: int = EXPAND) -> tuple[np.ndarray, np.ndarray]:
@@ -62,16 +66,15 @@ def beam_search(points: np.ndarray, graph: np.ndarray, entries: np.ndarray, quer
     return np.where(ids == n, -1, ids), best
 
 
-def robust_prune(points: np.ndarray, of: np.ndarray, found: np.ndarray, relax: float, degree: int) -> np.ndarray:
-    """Out-neighbours of the points `of` chosen from candidates (rows, -1 for none): near first, each kept one removing those nearer to it."""
+def robust_prune(points: np.ndarray, of: np.ndarray, seen: np.ndarray, found: np.ndarray, relax: float, degree: int) -> np.ndarray:
+    """Out-neighbours of the points `of`, placed at `seen`, from candidates (rows, -1 for none): near first, each kept one removing those nearer to it."""
     n = len(points)
     found = np.where((found < 0) | (found == of[:, None]), n, found)
     found = np.sort(found, axis=1)
     found[:, 1:][found[:, 1:] == found[:, :-1]] = n
-    safe = np.minimum(found, n - 1)
-    own, other = points[of], points[safe]
+    other = points[np.minimum(found, n - 1)]
     length = float((points[0] * points[0]).sum())
-    dist = np.maximum(2 * length - 2 * np.einsum("qd,qkd->qk", own, other), 0.0)
+    dist = np.maximum(length + (seen * seen).sum(axis=1)[:, None] - 2 * np.einsum("qd,qkd->qk", seen, other), 0.0)
     among = np.maximum(2 * length - 2 * np.matmul(other, other.transpose(0, 2, 1)), 0.0)
     alive = found < n
     out = np.full((len(of), degree), n)
@@ -92,15 +95,29 @@ def build(vectors: np.ndarray, longest: float, degree: int = DEGREE, beam: int =
     n = len(vectors)
     extra = np.sqrt(np.maximum(longest * longest - (vectors.astype(np.float64) ** 2).sum(axis=1), 0.0))
     points = np.concatenate([vectors, extra[:, None].astype(np.float32)], 1)
+    asked = np.concatenate([vectors, np.zeros((n, 1), np.float32)], 1)
+    level = bool(extra.max(initial=0.0) <= 0.05 * longest)
     rng = np.random.default_rng(seed)
     graph = rng.integers(0, n, (n, degree)) if n > 1 else np.full((n, degree), n)
-    entries = np.unique(np.r_[int(np.argmax(points @ points.mean(axis=0))), rng.integers(0, n, min(n, 7))])
+    # the longest vectors are near to every query
+    entries = np.unique(np.r_[int(np.argmax(points @ points.mean(axis=0))), rng.integers(0, n, min(n, 7)), np.argsort(extra, kind="stable")[: 0 if level else ENTRIES]])
+
+    def choose(of: np.ndarray, found: np.ndarray, alpha: float) -> np.ndarray:
+        if level:
+            return robust_prune(points, of, points[of], found, alpha, degree)
+        asking = robust_prune(points, of, asked[of], found, alpha, degree // 2)
+        rows = np.arange(len(of))[:, None]
+        taken = np.zeros((len(of), n + 1), bool)
+        taken[rows, asking] = True
+        own = robust_prune(points, of, points[of], np.where(taken[rows, found], -1, found), alpha, degree - degree // 2)
+        return np.concatenate([own, asking], 1)
+
     for alpha in (1.0, relax):
         order = rng.permutation(n)
         for lo in range(0, n, BATCH):
             of = order[lo : lo + BATCH]
-            found, _ = beam_search(points, graph, entries, points[of], min(beam, max(n, 2)))
-            graph[of] = robust_prune(points, of, np.concatenate([found, np.where(graph[of] == n, -1, graph[of])], 1), alpha, degree)
+            found = [beam_search(points, graph, entries, x[of], min(beam, max(n, 2)))[0] for x in ((points,) if level else (points, asked))]
+            graph[of] = choose(of, np.concatenate([*found, np.where(graph[of] == n, -1, graph[of])], 1), alpha)
             back, ahead = graph[of].reshape(-1), np.repeat(of, degree)
             back, ahead = back[back < n], ahead[back < n]
             by = np.argsort(back, kind="stable")
@@ -112,13 +129,17 @@ def build(vectors: np.ndarray, longest: float, degree: int = DEGREE, beam: int =
                 target = np.unique(back[now])
                 new = np.full((len(target), degree), -1)
                 new[np.searchsorted(target, back[now]), rank[now] - part] = ahead[now]
-                graph[target] = robust_prune(points, target, np.concatenate([np.where(graph[target] == n, -1, graph[target]), new], 1), alpha, degree)
+                graph[target] = choose(target, np.concatenate([np.where(graph[target] == n, -1, graph[target]), new], 1), alpha)
     return graph.astype(np.int32), entries.astype(np.int32)
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """(vec_id, v): ids with finite, non-zero vectors of the commonest dimension."""
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<float>").alias("v")).filter("vec_id IS NOT NULL AND v IS NOT NULL")
+    """(vec_id, v): ids with finite, non-zero vectors of the commonest dimension; other dimensions have no product with them.
+
+    Floats stay floats, any other numbers become doubles.
+    """
+    kind = "array<float>" if vectors.schema[vec_col].dataType == ArrayType(FloatType(), vectors.schema[vec_col].dataType.containsNull) else "array<double>"
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast(kind).alias("v")).filter("vec_id IS NOT NULL AND v IS NOT NULL")
     rows = rows.filter(F.forall("v", lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))), F.lit(False)))).filter(F.exists("v", lambda x: x != 0))
     size = rows.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "d").first()
     return rows.filter(F.size("v") == (size["d"] if size else -1))
@@ -136,8 +157,9 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec
     """(query_id, rank, vec_id, score): the k nearest found for every row of the condition `queries` on vec_id.
 
     score is the inner product in double precision; ties go to the smaller id,
-    and the query itself is left out. Null, zero and non-finite vectors and ids
-    take no part; equal vectors share one node of the graph and all count;
+    and the query itself is left out. Null, zero and non-finite vectors and ids,
+    and vectors of another than the commonest dimension, take no part; equal
+    vectors share one node of the graph and all count;
     with k others or fewer all are returned by an exact scan of the shard.
     """
     spark = vectors.sparkSession
@@ -148,9 +170,10 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec
     if not total["n"]:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     shards, longest = -(-total["n"] // shard), float(np.sqrt(total["m"]))
+    real = np.dtype(np.float32 if isinstance(rows.schema["v"].dataType.elementType, FloatType) else np.float64)
 
     def blob(table: pa.Table) -> pa.Table:
-        v = np.array(table.column("v").to_pylist(), np.float32)
+        v = np.array(table.column("v").to_pylist(), real)
         return pa.table({"part": table.column("part").slice(0, 1).cast(pa.int32()), "ids": pa.array([table.column("node").to_numpy().astype(np.int64).tobytes()], pa.binary()), "v": pa.array([v.tobytes()], pa.binary()), "graph": pa.nulls(1, pa.binary()), "entries": pa.nulls(1, pa.binary())})
 
     def index(table: pa.Table) -> pa.Table:
@@ -160,35 +183,42 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec
 
     schema = "part int, ids binary, v binary, graph binary, entries binary"
     dealt = nodes.select("node", "v", F.pmod(F.xxhash64("node", F.lit(3)), F.lit(shards)).cast("int").alias("part"))
-    built = materialize(dealt.groupBy("part").applyInArrow(index, schema), "graphs")
+    # by range, so that each shard has a task of its own
+    built = materialize(dealt.repartitionByRange(shards, "part").groupBy("part").applyInArrow(index, schema), "graphs")
     asking = rows.filter(queries).select("a", "b", F.col("vec_id").alias("query_id"))
     asked = nodes.join(asking.select("a", "b").distinct(), ["a", "b"], "left_semi").select("node", "v")
     asked = materialize(asked, "asked")
     parts = max(1, -(-asked.count() // QUERY_BLOCK))
     packs = asked.select("node", "v", F.pmod(F.xxhash64("node", F.lit(4)), F.lit(parts)).cast("int").alias("part")).groupBy("part").applyInArrow(blob, schema)
-    packs = packs.select(F.col("ids").alias("q_ids"), F.col("v").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("part"))
+    packs = packs.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
 
     def search(batches):
+        """A shard's graph comes first, then the blocks of queries, one after the other."""
+        ids = v = near = graph = entries = None
         for b in batches:
-            for ids, v, graph, entries, q_ids, q in zip(*(b.column(c).to_pylist() for c in ("ids", "v", "graph", "entries", "q_ids", "q"))):
-                ids, q_ids = np.frombuffer(ids, np.int64), np.frombuffer(q_ids, np.int64)
-                v, q = np.frombuffer(v, np.float32).reshape(len(ids), -1), np.frombuffer(q, np.float32).reshape(len(q_ids), -1)
-                graph, entries = np.frombuffer(graph, np.int32).reshape(len(ids), -1).astype(np.int64), np.frombuffer(entries, np.int32)
-                for lo in range(0, len(q), BATCH):
-                    part = q[lo : lo + BATCH]
+            for own, vectors, links, start in zip(*(b.column(c).to_pylist() for c in ("ids", "v", "graph", "entries"))):
+                own = np.frombuffer(own, np.int64)
+                vectors = np.frombuffer(vectors, real).reshape(len(own), -1)
+                if links is not None:
+                    ids, v, near = own, vectors, vectors.astype(np.float32)
+                    graph, entries = np.frombuffer(links, np.int32).reshape(len(ids), -1).astype(np.int64), np.frombuffer(start, np.int32)
+                    continue
+                for lo in range(0, len(own), BATCH):
+                    part = vectors[lo : lo + BATCH]
                     if len(ids) <= 4 * k:
                         found = np.tile(np.arange(len(ids)), (len(part), 1))
                     else:
-                        found, _ = beam_search(v, graph, entries, part, min(beam, len(ids)))
+                        found, _ = beam_search(near, graph, entries, part.astype(np.float32), min(beam, len(ids)))
                     score = np.einsum("qd,qkd->qk", part.astype(np.float64), v[np.maximum(found, 0)].astype(np.float64))
                     score[found < 0] = -np.inf
-                    own = ids[np.maximum(found, 0)]
-                    top = np.lexsort((own, -score), axis=1)[:, : k + 1]
-                    score, own = np.take_along_axis(score, top, 1), np.take_along_axis(own, top, 1)
+                    node = ids[np.maximum(found, 0)]
+                    top = np.lexsort((node, -score), axis=1)[:, : k + 1]
+                    score, node = np.take_along_axis(score, top, 1), np.take_along_axis(node, top, 1)
                     ok = score > -np.inf
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids[lo : lo + BATCH], ok.sum(axis=1))), pa.array(own[ok]), pa.array(score[ok])], names=["q", "node", "score"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own[lo : lo + BATCH], ok.sum(axis=1))), pa.array(node[ok]), pa.array(score[ok])], names=["q", "node", "score"])
 
-    found = built.join(packs, "part").select("ids", built["v"].alias("v"), "graph", "entries", "q_ids", "q").mapInArrow(search, "q long, node long, score double")
+    streams = built.unionByName(packs).repartitionByRange(shards, "part").sortWithinPartitions("part", F.col("graph").isNull())
+    found = streams.mapInArrow(search, "q long, node long, score double")
     w = W.partitionBy("q").orderBy(F.desc("score"), "node")
     found = materialize(found.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= k + 1).select("q", "node", "score"), "found")
     members = _first_ids(rows.select("a", "b", "vec_id"), k + 1).groupBy("a", "b").agg(F.collect_list("vec_id").alias("ids"))
