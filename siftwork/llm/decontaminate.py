@@ -31,6 +31,8 @@ WALKS, TABLES, PLACES = 5, 12, 3
 #: Most bytes of item texts that one pass over the documents carries to the executors; more items take more passes.
 BLOCK_BYTES = 8 << 20
 SEED = 20_240_101
+#: Most cells of embedded windows that are held at once.
+KEY_CELLS = 1 << 23
 
 
 def allowed(n: int, similarity: float = SIMILARITY) -> int:
@@ -70,39 +72,56 @@ class Index:
         self.longest = max(self.by_length, default=0)
 
     def prepare(self) -> Index:
-        """Random bits, samples and item keys, made anew on each worker from the seed."""
+        """Walks, samples and item keys, made anew on each worker from the seed."""
         rng = np.random.default_rng(SEED)
-        self.bits = rng.integers(0, 2, (self.walks, 3 * self.longest, len(self.vocabulary) + 1), dtype=np.uint8)
+        # the bit of a symbol at a step of a walk is the top bit of a product: nothing is stored by step and symbol
+        self.spread = rng.integers(1, 1 << 63, len(self.vocabulary) + 1, dtype=np.uint64) | np.uint64(1)
+        self.turn = rng.integers(1, 1 << 63, (self.walks, 3 * self.longest), dtype=np.uint64) | np.uint64(1)
         self.mix = rng.integers(1, 1 << 62, self.places, dtype=np.int64) | 1
-        self.samples, self.keys, self.masks = {}, {}, {}
-        self.pairs = np.unique(np.concatenate([np.empty(0, np.int64), *(self._coded(w[:-1], w[1:]) for own in self.by_length.values() for _, w in own)]))
-        for n in sorted(self.by_length):
+        self.samples, self.keys, self.owners = {}, {}, {}
+        lengths = sorted(self.by_length)
+        coded = [np.unique(np.concatenate([self._coded(w[:-1], w[1:]) for _, w in self.by_length[n]])) for n in lengths]
+        # which lengths each known pair of neighbours is in: self.at[p] to self.at[p + 1] in self.of
+        pair, of = (np.concatenate([np.empty(0, np.int64), *x]) for x in (coded, [np.full(len(c), k) for k, c in enumerate(coded)]))
+        order = np.argsort(pair, kind="stable")
+        self.pairs, many = np.unique(pair, return_counts=True)
+        # numbers of 16 bits sort in linear time
+        self.at, self.of, self.lengths = np.r_[0, np.cumsum(many)], of[order].astype(np.uint16 if len(lengths) < 1 << 16 else np.int64), lengths
+        for n in lengths:
             self.samples[n] = [[np.sort(rng.choice(3 * n, self.places, replace=False)) for _ in range(self.tables)] for _ in range(self.walks)]
             own = np.stack([w for _, w in self.by_length[n]])
-            self.masks[n] = np.isin(self.pairs, self._coded(own[:, :-1], own[:, 1:]))
-            self.keys[n] = self.embed(own.reshape(-1), np.arange(len(own)) * n, np.full(len(own), n))
+            step = max(1, KEY_CELLS // (3 * n))
+            keys = np.concatenate([self.embed(part.reshape(-1), np.arange(len(part)) * n, np.full(len(part), n)) for part in (own[lo : lo + step] for lo in range(0, len(own), step))], axis=1)
+            order = np.argsort(keys, axis=None, kind="stable")
+            self.keys[n], self.owners[n] = keys.reshape(-1)[order], order % len(own)
         return self
 
     def _coded(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return a.astype(np.int64) * (len(self.vocabulary) + 1) + b
 
-    def _pairs(self, line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where neighbouring words are neighbours in some item, and which pair they are."""
+    def _pairs(self, line: np.ndarray) -> dict[int, np.ndarray]:
+        """By item length, where neighbouring words are neighbours in some item of that length."""
         at = np.flatnonzero((line[:-1] > 0) & (line[1:] > 0))
         if not len(at) or not len(self.pairs):
-            return at[:0], at[:0]
+            return {}
         code = self._coded(line[at], line[at + 1])
         pair = np.minimum(np.searchsorted(self.pairs, code), len(self.pairs) - 1)
         known = self.pairs[pair] == code
-        return at[known], pair[known]
-
-    def _starts(self, line: np.ndarray, at: np.ndarray, pair: np.ndarray, n: int, k: int) -> np.ndarray:
-        """Starts of windows that hold enough neighbouring pairs: an edit breaks or moves out at most two of n - 1."""
+        at, pair = at[known], pair[known]
+        many = self.at[pair + 1] - self.at[pair]
+        n = self.of[np.repeat(self.at[pair] - np.r_[0, np.cumsum(many)[:-1]], many) + np.arange(many.sum())] if len(pair) else pair
+        at = np.repeat(at, many)
+        order = np.argsort(n, kind="stable")
+        n, at = n[order], at[order]
+        cut = np.flatnonzero(np.r_[True, n[1:] != n[:-1]]) if len(n) else n
+        return dict(zip([self.lengths[k] for k in n[cut].tolist()], np.split(at, cut[1:])))
+
+    def _starts(self, line: np.ndarray, p: np.ndarray, n: int, k: int) -> np.ndarray:
+        """Starts of windows that hold enough neighbouring pairs (their places are p): an edit breaks or moves out at most two of n - 1."""
         need = n - 1 - 2 * k
         if need <= 0:
             own = np.unique(np.concatenate([w for _, w in self.by_length[n]]))
             return np.flatnonzero(np.isin(line[: len(line) - n + 1], own))
-        p = at[self.masks[n][pair]]
         if len(p) < need:
             return p[:0]
         first, last = p[: len(p) - need + 1], p[need - 1 :]
@@ -117,20 +136,30 @@ class Index:
         out = np.zeros((self.walks * self.tables, len(starts)), np.int64)
         of = [(n, np.flatnonzero(lengths == n)) for n in np.unique(lengths).tolist()]
         top = int(lengths.max(initial=0))
-        for r, bits in enumerate(self.bits):
-            at = starts.astype(np.int64)
-            ends = at + lengths
-            y = np.zeros((3 * top, len(starts)), np.int32)
-            for j in range(3 * top):
-                y[j] = now = np.where(at < ends, symbols[np.minimum(at, len(symbols) - 1)], 0)
-                at += bits[j][now]
-            with np.errstate(over="ignore"):
+        with np.errstate(over="ignore"):
+            for r in range(self.walks):
+                at = starts.astype(np.int64)
+                ends = at + lengths
+                y = np.zeros((3 * top, len(starts)), np.int32)
+                for j in range(3 * top):
+                    y[j] = now = np.where(at < ends, symbols[np.minimum(at, len(symbols) - 1)], 0)
+                    at += ((self.spread[now] * self.turn[r, j]) >> np.uint64(63)).astype(np.int64)
                 for n, cols in of:
                     own = y[: 3 * n, cols].astype(np.int64)
                     for t, s in enumerate(self.samples[n][r]):
-                        out[r * self.tables + t, cols] = ((own[s] + 1 + t) * self.mix[:, None]).sum(axis=0)
+                        out[r * self.tables + t, cols] = ((own[s] + 1 + t) * self.mix[:, None]).sum(axis=0) * np.int64(2 * (r * self.tables + t) + 1)
         return out
 
+    def _proposed(self, n: int, keys: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(items, starts) that share a key; keys are (walks * tables, windows)."""
+        key = keys.reshape(-1)
+        lo, hi = np.searchsorted(self.keys[n], key, "left"), np.searchsorted(self.keys[n], key, "right")
+        hit = np.flatnonzero(hi > lo)
+        many = (hi - lo)[hit]
+        item = self.owners[n][np.repeat(lo[hit] - np.r_[0, np.cumsum(many)[:-1]], many) + np.arange(many.sum())] if len(hit) else hit
+        both = np.unique(np.stack([item, np.repeat(starts[hit % len(starts)], many) if len(hit) else hit]), axis=1)
+        return both[0], both[1]
+
     def symbols(self, text: str | None) -> np.ndarray:
         words = lower_words_of(text)
         return np.fromiter(map(self.vocabulary.get, words, repeat(0)), np.int32, len(words))
@@ -139,28 +168,36 @@ class Index:
         """(document, item id, first word, words, distance, item words) of every place in `docs` that matches an item."""
         if not self.by_length or not docs:
             return
-        gap = np.zeros(self.longest + 1, np.int32)
+        # a window that reaches over the gap has too many words outside its document
+        gap = np.zeros(allowed(self.longest, self.similarity) + 1, np.int32)
         parts = [x for d in docs for x in (d, gap)]
         line = np.concatenate(parts)
         base = np.cumsum([0] + [len(d) + len(gap) for d in docs])[:-1]
         ends = base + np.array([len(d) for d in docs])
-        at, pair = self._pairs(line)
-        every = {n: self._starts(line, at, pair, n, allowed(n, self.similarity)) for n in self.by_length}
+        where = self._pairs(line)
+        every = {n: self._starts(line, where.get(n, line[:0].astype(np.int64)), n, allowed(n, self.similarity)) for n in sorted(self.by_length)}
         starts, lengths = np.concatenate(list(every.values())), np.repeat(list(every), [len(x) for x in every.values()])
         found: dict[tuple[int, int], list[np.ndarray]] = {}
-        for lo in range(0, len(starts), 16384):
-            part, size = starts[lo : lo + 16384], lengths[lo : lo + 16384]
+        lo = 0
+        while lo < len(starts):
+            hi = lo + 16384
+            while hi > lo + 64 and (hi - lo) * 3 * lengths[min(hi, len(lengths)) - 1] > KEY_CELLS:
+                hi = lo + (hi - lo) // 2
+            part, size = starts[lo:hi], lengths[lo:hi]
+            lo = hi
             keys = self.embed(line, part, size)
             for n in np.unique(size).tolist():
                 of = np.flatnonzero(size == n)
-                for i in range(len(self.by_length[n])):
-                    hit = of[(keys[:, of] == self.keys[n][:, i : i + 1]).any(axis=0)]
-                    if len(hit):
-                        found.setdefault((n, i), []).append(part[hit])
-        for (n, i), hits in found.items():
+                item, start = self._proposed(n, keys[:, of], part[of])
+                cut = np.flatnonzero(np.r_[True, item[1:] != item[:-1]]) if len(item) else item
+                for i, s in zip(item[cut].tolist(), np.split(start, cut[1:])):
+                    found.setdefault((n, i), []).append(s)
+        for (n, i), hits in sorted(found.items()):
             k, (item_id, own) = allowed(n, self.similarity), self.by_length[n][i]
             s = np.concatenate(hits)
-            s = s[np.isin(line[s[:, None] + np.arange(n)], own).sum(axis=1) >= n - k]  # else too few of the item's words
+            step = max(1, KEY_CELLS // n)
+            enough = [np.isin(line[x[:, None] + np.arange(n)], own).sum(axis=1) >= n - k for x in (s[lo : lo + step] for lo in range(0, len(s), step))]
+            s = s[np.concatenate(enough)]  # else too few of the item's words
             if not len(s):
                 continue
             d = np.searchsorted(base, s, side="right") - 1

@@ -108,6 +108,31 @@ def license_rows(texts):
         yield i, len(ws), len(at), min((k for k, _ in at), default=None), max((k for k, _ in at), default=None), ",".join(sorted({x for _, x in at}))
 
 
+def test_long_item_and_many_items():
+    """An item of 20,000 different words, and ten thousand items: edited copies are found, nothing else is, in little memory."""
+    rng = random.Random(3)
+    long = [f"w{i}" for i in range(20_000)]
+    rng.shuffle(long)
+    index = D.Index([(1, " ".join(long))], walks=1, tables=4).prepare()
+    assert index.spread.nbytes + index.turn.nbytes < 1 << 20
+    near = [w if rng.random() > 0.02 else "x" for w in long]
+    found = list(index.search([index.symbols("a b " + " ".join(near) + " c"), index.symbols("a b c")]))
+    assert [(f[0], f[1], f[2], f[3]) for f in found] == [(0, 1, 2, 20_000)] and found[0][4] == sum(a != b for a, b in zip(near, long))
+    words = [f"v{i}" for i in range(3000)]
+    items = [(i, " ".join(rng.choices(words, k=rng.randrange(20, 60)))) for i in range(10_000)]
+    index = D.Index(items).prepare()
+    docs, want = [], set()
+    for d in range(60):
+        i, t = items[rng.randrange(len(items))]
+        ws = t.split()
+        for _ in range(D.allowed(len(ws)) // 2):
+            ws[rng.randrange(len(ws))] = "x"
+        docs.append(" ".join([*rng.choices(words, k=30), *ws, *rng.choices(words, k=30)]))
+        want.add((d, i))
+    got = {(f[0], f[1]) for f in index.search([index.symbols(t) for t in docs])}
+    assert got <= want and len(got) >= 0.95 * len(want)
+
+
 def test_licenses(spark, docs, plain, odd, none):
     pick = lambda df: sorted((tuple(r[c] for c in ("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")) for r in L.op10_licenses(df).collect()), key=str)
     assert pick(docs) == sorted(license_rows(plain.items()), key=str)
@@ -175,9 +200,31 @@ def test_vectors_that_take_no_part(spark):
     assert V.op5_neighbours(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("how", ["narrow", "normal"])
+def test_recall_of_a_full_shard_of_unequal_lengths(how):
+    rng = np.random.default_rng(0)
+    v = rng.standard_normal((V.SHARD, 64)).astype(np.float32)
+    if how == "narrow":
+        v *= rng.uniform(0.8, 1.2, (len(v), 1)).astype(np.float32) / np.linalg.norm(v, axis=1)[:, None]
+    graph, entries = V.build(v, float(np.linalg.norm(v, axis=1).max()))
+    q = v[::64]
+    found, _ = V.beam_search(v, graph, entries, q, V.SEARCH_BEAM)
+    want = np.argsort(-(q @ v.T), axis=1)[:, :21]
+    assert np.mean([len(set(a[:21]) & set(b)) / 21 for a, b in zip(found.tolist(), want.tolist())]) >= 0.95
+
+
+def test_doubles_keep_their_precision(spark):
+    rng = np.random.default_rng(1)
+    rows = {i: rng.normal(size=6).tolist() for i in range(60)}
+    got, _ = answers(V.op5_neighbours(spark.createDataFrame([(i, v, 1, 2, 3) for i, v in rows.items()], "vec_id long, embedding array<double>, a int, b int, v int")))
+    for q in (0, 20, 40):
+        x = {i: float(np.dot(rows[i], rows[q])) for i in rows if i != q}
+        assert np.allclose([s for _, s in got[q]], sorted(x.values(), reverse=True)[:20], rtol=1e-14)
+
+
 def test_prune_keeps_diverse_edges():
     points = np.array([[0, 0, 1], [1, 0, 0.9], [1.1, 0, 0.8], [-1, 0, 0.9]], np.float32)
     points /= np.linalg.norm(points, axis=1, keepdims=True)
-    out = V.robust_prune(points, np.array([0]), np.array([[1, 2, 3, 2, -1]]), 1.2, 4)[0].tolist()
+    out = V.robust_prune(points, np.array([0]), points[:1], np.array([[1, 2, 3, 2, -1]]), 1.2, 4)[0].tolist()
     assert out[:2] == [1, 3] or out[:2] == [3, 1]
     assert 2 not in out
