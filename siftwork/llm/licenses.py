@@ -4,8 +4,10 @@ The rolling word k-grams of all documents are joined with the positions of the
 same k-grams in license templates. A match votes for its diagonal, the document
 position less the template position; a template that stands in a text gathers
 its votes on one diagonal, or on neighbouring ones where words were put in or
-left out. Votes are counted by diagonal, neighbouring diagonals are merged, and
-the covered span is verified against the template's length.
+left out. Votes are gathered by diagonal, each with the template positions that
+it has. A diagonal is merged with its neighbours, so that a template position
+counts once; the strongest of a neighbourhood stays and its words are verified:
+those in their order must make up the same share of the template.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from siftwork.llm.base import texts
 from siftwork.plans.shared import materialize
 
 K = 3
-#: Share of a template's k-grams that a text must hold, and how far merged diagonals may lie apart.
+#: Share of a template's k-grams, and of its words in order, that a text must hold, and how far from the strongest diagonal merged ones may lie.
 COVER, DRIFT = 0.6, 4
 #: Phrases that are labels by themselves wherever all their words stand in a row (given by the contract).
 BASE = [("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc")]
@@ -49,6 +51,16 @@ def _words(data: bytes, table: bytes) -> list[bytes]:
     return [w for w in data.translate(table).split(b" ") if w]
 
 
+def in_order(template: list[int], at: dict[int, int]) -> int:
+    """The most words of a template that a text has in their order; `at` gives the known words of the text by place."""
+    row = np.zeros(len(template) + 1, np.int64)
+    words = np.array(template)
+    for place in sorted(at):
+        row[1:] = np.maximum(row[1:], np.where(words == at[place], row[:-1] + 1, 0))
+        row = np.maximum.accumulate(row)
+    return int(row[-1])
+
+
 def scan(docs: DataFrame, base: list[tuple[str, str]] = BASE, notices: list[tuple[str, str]] = NOTICES, text_col: str = "text", id_col: str = "doc_id") -> tuple[DataFrame, DataFrame]:
     """(rows, spans): one row (row, doc_id, n_words) per document, and the verified spans.
 
@@ -88,19 +100,29 @@ def scan(docs: DataFrame, base: list[tuple[str, str]] = BASE, notices: list[tupl
     numbered = texts(docs, id_col, text_col).select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
     rows = materialize(numbered.mapInArrow(run, "row long, doc_id long, n_words long, pos array<long>, code array<long>"), "grams")
     each = rows.filter(F.size("pos") > 0).select("row", F.explode(F.arrays_zip("pos", "code")).alias("g")).select("row", F.col("g.pos").alias("pos"), F.col("g.code").alias("code"))
-    votes = each.join(F.broadcast(grams), "code").groupBy("row", "template", (F.col("pos") - F.col("at")).alias("diagonal")).agg(F.count(F.lit(1)).alias("votes"), F.min("pos").alias("lo"), F.max("pos").alias("hi"))
+    votes = each.join(F.broadcast(grams), "code").groupBy("row", "template", (F.col("pos") - F.col("at")).alias("diagonal")).agg(F.collect_set("at").alias("ats"))
     votes = votes.join(F.broadcast(about), "template")
-    exact = votes.filter(F.col("base") & (F.col("votes") == F.col("grams"))).select("row", "template", "label", "base", F.col("diagonal").alias("first_word"), (F.col("hi") + K - 1).alias("last_word"), F.lit(1.0).alias("cover"))
-    w = W.partitionBy("row", "template").orderBy("diagonal")
-    other = votes.filter(~F.col("base"))
-    # a neighbouring diagonal goes on where the last one stopped; a second copy of the notice starts anew
-    new = F.coalesce((F.col("diagonal") - F.lag("diagonal").over(w) > DRIFT).cast("int"), F.lit(1))
-    runs = other.withColumn("new", new).withColumn("run", F.sum("new").over(w.rowsBetween(W.unboundedPreceding, 0)))
-    merged = runs.groupBy("row", "template", "label", "base", "grams", "run").agg(F.sum("votes").alias("votes"), F.min("lo").alias("first_word"), (F.max("hi") + K - 1).alias("last_word"))
-    span = F.col("last_word") - F.col("first_word") - (K - 2)
-    cover = F.least(F.col("votes") / F.col("grams"), F.lit(1.0))
-    kept = merged.withColumn("cover", cover).filter((F.col("cover") >= COVER) & (span <= F.col("grams") + 2 * DRIFT))
-    spans = exact.unionByName(kept.select("row", "template", "label", "base", "first_word", "last_word", "cover"))
+    exact = votes.filter(F.col("base") & (F.size("ats") == F.col("grams"))).select("row", "template", "label", "base", F.col("diagonal").alias("first_word"), (F.col("diagonal") + F.col("grams") + K - 2).alias("last_word"), F.lit(1.0).alias("cover"))
+    w = W.partitionBy("row", "template").orderBy("diagonal").rangeBetween(-DRIFT, DRIFT)
+    near = votes.filter(~F.col("base")).withColumn("near", F.collect_list(F.struct("diagonal", "ats")).over(w))
+    share = F.size(F.array_distinct(F.flatten(F.transform("near", lambda n: n["ats"])))) / F.col("grams")
+    strong = near.withColumn("share", share).filter(F.col("share") >= COVER)
+    strong = strong.withColumn("most", F.max(F.struct("share", F.size("ats"), -F.col("diagonal"))).over(w)).filter(F.col("most") == F.struct("share", F.size("ats"), -F.col("diagonal")))
+    numbers = [[ids[x] for x in ws] for *_, ws in split]
+
+    def verify(batches):
+        for b in batches:
+            out = []
+            for row, template, label, near in zip(*(b.column(c).to_pylist() for c in ("row", "template", "label", "near"))):
+                own = numbers[template]
+                at = {n["diagonal"] + a + j: own[a + j] for n in near for a in n["ats"] for j in range(K)}
+                cover = in_order(own, at) / len(own)
+                if cover >= COVER:
+                    out.append((row, template, label, False, min(at), max(at), cover))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.string(), pa.bool_(), pa.int64(), pa.int64(), pa.float64()))], names=["row", "template", "label", "base", "first_word", "last_word", "cover"])
+
+    kept = strong.select("row", "template", "label", "near").mapInArrow(verify, "row long, template int, label string, base boolean, first_word long, last_word long, cover double")
+    spans = exact.unionByName(kept)
     return rows.select("row", "doc_id", "n_words"), spans
 
 

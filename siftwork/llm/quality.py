@@ -71,6 +71,22 @@ def _step(grad: np.ndarray, hess: np.ndarray, leaves: int, ridge: float) -> np.n
     return out
 
 
+def _tree(g: np.ndarray, h: np.ndarray, ridge: float) -> np.ndarray:
+    """A tree of depth two over two axes: the better first axis is cut once, then each side on the other axis."""
+
+    def cut_first(g: np.ndarray, h: np.ndarray) -> tuple[float, np.ndarray]:
+        first = _step(g.sum(1), h.sum(1), 2, ridge)
+        cut = int(np.argmax(np.diff(first) != 0)) + 1 if len(first) > 1 and first[0] != first[-1] else 0
+        step = np.zeros_like(g)
+        for rows in (slice(0, cut), slice(cut, None)):
+            step[rows] = _step(g[rows].sum(0), h[rows].sum(0), 2, ridge * 2)
+        # what the step takes off a second-order loss
+        return float((g * step - h * step * step / 2).sum()), step
+
+    one, other = cut_first(g, h), cut_first(g.T, h.T)
+    return one[1] if one[0] >= other[0] else other[1].T
+
+
 def fit(x: np.ndarray, y: np.ndarray, bins: int = 32, rounds: int = 120, rate: float = 0.12, leaves: int = 4, pairs: int = 6, ridge: float = 2.0) -> dict:
     """A model as plain arrays. With no rows, or one class only, it scores that share for every text."""
     k = x.shape[1] if x.ndim == 2 else len(FEATURES)
@@ -106,14 +122,9 @@ def fit(x: np.ndarray, y: np.ndarray, bins: int = 32, rounds: int = 120, rate: f
     for _ in range(rounds // 4):
         for i, j, table in model["pairs"]:
             r, h = residuals()
-            # a tree of depth two: the better first axis is cut once, then each side on the other axis
             cell = b[i] * sizes[j] + b[j]
             g2, h2 = np.bincount(cell, r, sizes[i] * sizes[j]).reshape(sizes[i], sizes[j]), np.bincount(cell, h, sizes[i] * sizes[j]).reshape(sizes[i], sizes[j])
-            first = _step(g2.sum(1), h2.sum(1), 2, ridge)
-            cut = int(np.argmax(np.diff(first) != 0)) + 1 if len(first) > 1 and first[0] != first[-1] else 0
-            step = np.zeros_like(table)
-            for rows in (slice(0, cut), slice(cut, None)):
-                step[rows] = _step(g2[rows].sum(0), h2[rows].sum(0), 2, ridge * 2)
+            step = _tree(g2, h2, ridge)
             table += rate * step
             f += rate * step[b[i], b[j]]
     model |= {"edges": edges, "tables": tables}
@@ -144,12 +155,14 @@ def featurise(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", rows: int = FIT_ROWS) -> dict:
     """A model fitted on at most `rows` labelled documents, the first by a hash of the id.
 
-    Null labels and labels of absent documents teach nothing; of contradicting labels of one id the largest counts.
+    Null labels and labels of absent documents teach nothing; of contradicting labels of one id the largest counts,
+    of texts that share an id the one with the least features.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).filter("doc_id IS NOT NULL AND y IS NOT NULL")
     some = known.groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     # at most `rows` pairs of numbers: small enough to send to every executor
-    seen = featurise(docs.join(F.broadcast(some), "doc_id", "left_semi")).join(F.broadcast(some), "doc_id").orderBy("doc_id").toPandas()
+    seen = featurise(docs.join(F.broadcast(some), "doc_id", "left_semi")).join(F.broadcast(some), "doc_id")
+    seen = seen.groupBy("doc_id", "y").agg(F.min("x").alias("x")).orderBy("doc_id").toPandas()
     x = np.array(seen["x"].tolist(), float).reshape(len(seen), len(FEATURES))
     return fit(x, seen["y"].to_numpy(float))
 

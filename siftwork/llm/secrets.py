@@ -157,19 +157,22 @@ def scan(docs: DataFrame, model: PipelineModel, threshold: float = THRESHOLD, te
 def redact(docs: DataFrame, model: PipelineModel, threshold: float = THRESHOLD) -> DataFrame:
     """`docs` with every found secret replaced by MASK and n_chars, where there is one, made to fit; all rows stay.
 
-    Texts without candidates are passed on as they are; only the others meet
+    Candidates go by their places; one whose value is a secret elsewhere in the
+    text goes too, and a longer word that only holds the value stays. Texts without candidates are passed on as they are; only the others meet
     their findings in a join. Rows are told apart by id and whole text, so
     repeated rows and null ids are right too.
     """
     has = F.coalesce(F.col("text").rlike(CANDIDATE), F.lit(False))
     some = docs.filter(has).withColumn("__mark", F.sha2(F.concat_ws(":", F.col("doc_id").cast("string"), F.col("text")), 256))
-    found = _scored(some, model, "text", "__mark").filter(F.col("score") >= threshold)
-    values = found.groupBy("__mark").agg(F.collect_set("value").alias("__values"))
-    longest = F.array_sort("__values", lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0))
-    joined = some.join(values.withColumn("__values", longest), "__mark", "left")
-    masked = joined.withColumn("text", F.aggregate(F.coalesce("__values", F.array().cast("array<string>")), F.col("text"), lambda t, v: F.replace(t, v, F.lit(MASK))))
+    values = _scored(some, model, "text", "__mark").groupBy("__mark", "value").agg(F.max("score").alias("score"), F.collect_set("start").alias("starts")).filter(F.col("score") >= threshold)
+    each = F.transform("starts", lambda at: F.struct(at.alias("start"), F.length("value").alias("length")))
+    places = values.groupBy("__mark").agg(F.sort_array(F.flatten(F.collect_list(each)), asc=False).alias("__places"))
+    joined = some.join(places, "__mark", "left")
+    # from the last place to the first, so that those ahead stay where they are
+    mask = lambda t, p: F.concat(F.substring(t, F.lit(1), p["start"].cast("int")), F.lit(MASK), F.substring(t, (p["start"] + p["length"] + 1).cast("int"), F.length(t)))
+    masked = joined.withColumn("text", F.when(F.col("__places").isNull(), F.col("text")).otherwise(F.aggregate("__places", F.col("text"), mask)))
     if "n_chars" in docs.columns:
-        masked = masked.withColumn("n_chars", F.when(F.col("__values").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+        masked = masked.withColumn("n_chars", F.when(F.col("__places").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return docs.filter(~has).unionByName(masked.select(docs.columns))
 
 

@@ -192,10 +192,11 @@ def classes(docs: DataFrame, max_bits: int = MAX_BITS, text_col: str = "text", i
 def keep_one(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """The rows of `docs` that stand for their class: one document each, with all its columns.
 
-    Rows with a null id are kept. Of rows that repeat an id one stays.
+    Rows with a null id are kept. Of rows that repeat id and
+    text one stays; an id stands or falls with all its texts.
     """
     found = classes(docs, max_bits).filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__kept_id")).distinct()
-    rows = docs.filter("doc_id IS NOT NULL").join(found, F.col("doc_id") == F.col("__kept_id"), "left_semi").dropDuplicates(["doc_id"])
+    rows = docs.filter("doc_id IS NOT NULL").join(found, F.col("doc_id") == F.col("__kept_id"), "left_semi").dropDuplicates(["doc_id", "text"])
     return rows.unionByName(docs.filter("doc_id IS NULL"))
 
 

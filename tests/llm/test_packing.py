@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow.parquet as pq
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
@@ -37,6 +38,15 @@ def check(pieces, texts, window=2048):
     return sum(map(len, want)) / (len(sequences) * window)
 
 
+def test_ids_of_odd_texts():
+    """The fast encoder's ids are the tokenizer's, also for controls, long runs, scripts and the larger table."""
+    texts = ["", "\x00\x01\x7f\x80", " " * 3000 + "x", "a" * 5000, "\r\n\t\x0b\x0c \u00a0\u2003", "'s 'T don't I'LL", "12345678901234567890", "漢字かな交じり文", "🙂🙂👨‍👩‍👧", "\ufffd\ufeff", "e\u0301 \u0645\u0631\u062d\u0628\u0627", "<|endoftext|>", "\u2028\u2029!!??..--"]
+    encode = P.encoder(P.tokenizer_path())
+    rows = pq.read_table("/root/testdata/sf0.01/documents.parquet").column("text").to_pylist()
+    for text, want in zip(texts + rows, ids_of(texts + rows)):
+        assert [*encode(text)] == want[:-1], text[:40]
+
+
 def test_round_trip(docs, plain):
     assert check(P.op1_packing(docs).collect(), plain) > 0.99
 

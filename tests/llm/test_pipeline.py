@@ -8,7 +8,7 @@ import corpus_pipeline as C
 from siftwork.llm import decontaminate, langid
 from siftwork.plans.shared import materialize
 from tests.llm.test_packing import check
-from tests.llm.test_simhash import slow_classes, slow_fingerprint
+from tests.llm.test_similar import slow_kept
 
 
 @pytest.fixture(scope="module")
@@ -29,8 +29,9 @@ def test_stages(spark, small, stages):
     assert all(d.columns == stages[0].columns for d in stages[:-1]) and 4 <= len(C.STAGES) <= 5
     classify = langid.classifier(langid.train(stages[0]))
     assert t[1] == {i: x for i, x in t[0].items() if not classify(x)[2]} and len(t[1]) > 0.97 * len(t[0])
-    least = slow_classes({i: slow_fingerprint(x) for i, x in t[1].items()})
-    assert t[2] == {i: x for i, x in t[1].items() if least[i] == i} and len(t[2]) < len(t[1])
+    # five words and a similarity of 0.8 or more, by all pairs
+    stay = slow_kept(t[1])
+    assert t[2] == {i: x for i, x in t[1].items() if i in stay} and len(t[2]) < len(t[1])
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()]
     index = decontaminate.Index(items)
     own = [w for ws in index.by_length.values() for _, w in ws]

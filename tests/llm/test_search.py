@@ -145,6 +145,60 @@ def test_licenses(spark, docs, plain, odd, none):
     assert labels[4][0] == "bsd" and 0.6 <= labels[4][1] <= 1 and labels[2][0] == "cc-by-nc" and labels[1][0] == "cc-by-nc,mit"
 
 
+def slow_labels(text):
+    """Labels by looking at every diagonal of every notice."""
+    ws = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if c.isascii() else c for c in text or ""))
+    out = set()
+    for phrase, label in L.BASE:
+        p = phrase.split()
+        out |= {label} if any(ws[i : i + len(p)] == p for i in range(len(ws))) else set()
+    for notice, label in L.NOTICES:
+        t = notice.split()
+        where = {}
+        for p in range(len(ws) - 2):
+            for a in range(len(t) - 2):
+                if ws[p : p + 3] == t[a : a + 3]:
+                    where.setdefault(p - a, set()).add(a)
+        shares = {d: len(set().union(*(where.get(d + e, set()) for e in range(-4, 5)))) / (len(t) - 2) for d in where}
+        for d, share in shares.items():
+            if share < 0.6 or max((shares[e], len(where[e]), -e) for e in shares if abs(e - d) <= 4 and shares[e] >= 0.6) != (share, len(where[d]), -d):
+                continue
+            places = sorted({d + e + a + j for e in range(-4, 5) for a in where.get(d + e, ()) for j in range(3)})
+            row = [0] * (len(t) + 1)
+            for p in places:
+                new = row[:]
+                for j, x in enumerate(t, 1):
+                    new[j] = max(new[j - 1], row[j], row[j - 1] + 1 if x == ws[p] else 0)
+                row = new
+            out |= {label} if row[-1] / len(t) >= 0.6 else set()
+    return ",".join(sorted(out))
+
+
+def test_labels_against_every_diagonal(spark, docs, plain):
+    mozilla = next(t for t, label in L.NOTICES if label == "mpl-2")
+    rng = random.Random(8)
+    rows = [(0, mozilla + " license v 2 0" * 4), (1, "license v 2 0 " * 9), (2, " ".join(reversed(mozilla.split())))]
+    for k in range(3, 80):
+        ws = " ".join(rng.choice(L.NOTICES)[0] for _ in range(rng.randrange(1, 4))).split()
+        for _ in range(rng.randrange(len(ws) // 2)):
+            i = rng.randrange(len(ws))
+            how = rng.randrange(4)
+            if how == 0:
+                ws[i] = "zz"
+            elif how == 1:
+                ws.insert(i, rng.choice(ws))
+            elif how == 2 and len(ws) > 4:
+                del ws[i]
+            else:
+                ws[i : i + 6] = ws[i : i + 6][::-1]
+        rows.append((k, " ".join(ws)))
+    rows += [(1000 + i, t) for i, t in plain.items()]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["labels"] for r in L.op10_licenses(df).collect()}
+    assert got == {i: slow_labels(t) for i, t in rows}
+    assert got[0] == "mpl-2" and got[1] == got[2] == ""
+
+
 def slow_neighbours(rows, k=20):
     ids = sorted(rows)
     x = np.array([rows[i] for i in ids], np.float32).astype(np.float64)
