@@ -1,8 +1,9 @@
 """Intermediate tables in the folder that all executors share.
 
 A table written here survives the loss of any executor and cuts the lineage,
-unlike a local checkpoint. The folder is `spark.checkpoint.dir`; only where
-the session names none (tests, a laptop) is a temporary folder set instead.
+unlike a local checkpoint. The folder is `spark.checkpoint.dir`, or the
+context's own checkpoint folder; only a local session that names neither (tests,
+a laptop) gets a temporary folder, since executors share none of those.
 """
 
 from __future__ import annotations
@@ -12,7 +13,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_SET: dict[str, str] = {}
 #: Folders that go when the driver ends.
 _OWN: set[str] = set()
 #: Drops an execution's shuffle files when it ends.
@@ -20,14 +20,15 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if named:
         return named.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _SET:
-        _SET[app] = tempfile.mkdtemp(prefix="siftwork-")
-        spark.sparkContext.setCheckpointDir(_SET[app])
-    return _SET[app]
+    if not context.master.startswith("local[") and context.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    folder = tempfile.mkdtemp(prefix="siftwork-")
+    context.setCheckpointDir(folder)
+    return context.getCheckpointDir().rstrip("/")
 
 
 def _file_system(spark: SparkSession, path: str):
