@@ -126,10 +126,12 @@ class Index:
             return p[:0]
         first, last = p[: len(p) - need + 1], p[need - 1 :]
         fits = last - first <= n - 2
-        lo, hi = np.maximum(last[fits] - (n - 2), 0), first[fits]
+        hi = first[fits]
+        # both ends only grow, so each range goes on where the last one stopped
+        lo = np.maximum(last[fits] - (n - 2), np.r_[0, hi[:-1] + 1]) if len(hi) else hi
         size = np.maximum(hi - lo + 1, 0)
         every = np.repeat(lo - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())
-        return np.unique(every[every + n <= len(line)])
+        return every[every + n <= len(line)]
 
     def embed(self, symbols: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """The keys (walks * tables, windows) of the windows of so many symbols at `starts`."""
