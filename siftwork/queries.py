@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from siftwork import sinks
+from siftwork import fact_queries, sinks
 from siftwork.functions import intervals, scalars
 from siftwork.functions.filters import PRESENT, apply_filter
 from siftwork.operators import clones, components, graph, ordered, rewrite, search
@@ -481,11 +481,13 @@ def _findings(spark: SparkSession, sf_dir: str, *only: str) -> DataFrame:
     return lint(Facts(spark, lines=lines(table(spark, sf_dir, "documents"))), only)
 
 
-@register("lint_text", """WITH l AS (SELECT doc_id, unnest(string_split_regex(text, '\\r\\n|\\n|\\r')) AS t, generate_subscripts(string_split_regex(text, '\\r\\n|\\n|\\r'), 1) AS line FROM documents)
-SELECT doc_id, cast(line AS INTEGER) AS line, 'sentence-capital' AS code FROM l WHERE regexp_matches(t, '[a-z]{2}[.!?] +[a-z]{2}') AND NOT regexp_matches(t, '\\b(e\\.g|i\\.e|cf|etc|vs|al)\\. ')
-UNION ALL SELECT doc_id, cast(line AS INTEGER), 'dimension-times' FROM l WHERE regexp_matches(t, '\\b\\d+\\s?[x*]\\s?\\d+\\b') UNION ALL SELECT doc_id, cast(line AS INTEGER), 'math-shift-dollars' FROM l WHERE regexp_matches(t, '\\$\\$')""")
+_LINES = "WITH l AS (SELECT doc_id, unnest(string_split_regex(text, '\\r\\n|\\n|\\r')) AS t, cast(generate_subscripts(string_split_regex(text, '\\r\\n|\\n|\\r'), 1) AS INTEGER) AS line FROM documents) "
+
+
+@register("lint_text", _LINES + " UNION ALL ".join(map(fact_queries.line_rule, ("S061", "S003", "S035"))))
 def lint_text(spark, sf_dir):
-    return _findings(spark, sf_dir, "sentence-capital", "dimension-times", "math-shift-dollars").select("doc_id", "line", "code")
+    """Every match, by column, with exceptions judged where it stands."""
+    return _findings(spark, sf_dir, "S061", "S003", "S035").select("number", "doc_id", "line", "col")
 
 
 @register("lint_statistics")
@@ -500,3 +502,7 @@ def lint_statistics(spark, sf_dir):
 @register("annotations")
 def annotations(spark, sf_dir):
     return sinks.github(_findings(spark, sf_dir, "et-al", "sentence-capital"))
+
+
+QUERIES.update(fact_queries.QUERIES)
+ORACLE_SQL.update(fact_queries.ORACLE_SQL)

@@ -171,7 +171,14 @@ def _magic(facts: Facts, config: dict) -> DataFrame:
 
 
 def _tagging(condition: str, message: str):
-    return lambda facts, config: at(setting(facts, "tagging").filter("value = 'on'").join(facts["settings"].groupBy("doc_id").agg(F.map_from_entries(F.array_sort(F.collect_set(F.struct("key", "value")))).alias("has")), "doc_id").filter(condition), message)
+    """Of documents with tagging on: what their last settings lack."""
+
+    def run(facts: Facts, config: dict) -> DataFrame:
+        last = facts["settings"].groupBy("doc_id", "key").agg(F.max_by("value", "node").alias("value"))
+        has = last.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("has"))
+        return at(setting(facts, "tagging").filter("value = 'on'").join(has, "doc_id").filter(condition), message)
+
+    return run
 
 
 def _tagging_packages(facts: Facts, config: dict) -> DataFrame:

@@ -62,16 +62,32 @@ def at(df: DataFrame, message: str | Column) -> DataFrame:
     return df.select("doc_id", *place, message.alias("message"))
 
 
+#: Characters before a match that an exception may look at.
+CONTEXT = 16
+
+
+def matches(rows: DataFrame, regex: str, text_col: str = "text") -> DataFrame:
+    """Every match of a pattern in `text_col`: rows with `found`, `col` (from 1) and `before`, the CONTEXT characters ahead of it."""
+    hit = rows.filter(F.col(text_col).rlike(regex)).withColumn("__row", F.monotonically_increasing_id())
+    found = F.regexp_extract_all(text_col, F.lit(regex), F.lit(0))
+    each = F.arrays_zip(found.alias("found"), F.slice(F.split(text_col, regex, -1), F.lit(1), F.size(found)).alias("ahead"))
+    hit = hit.select(*hit.columns, F.posexplode(each).alias("__i", "__x"))
+    # where a match starts is a running sum over its own line
+    w = W.partitionBy("__row").orderBy("__i").rowsBetween(W.unboundedPreceding, 0)
+    start = F.sum(F.length("__x.ahead") + F.length("__x.found")).over(w) - F.length("__x.found")
+    hit = hit.withColumn("found", F.col("__x.found")).withColumn("col", (start + 1).cast("int"))
+    lo = F.greatest(F.col("col") - CONTEXT, F.lit(1))
+    return hit.withColumn("before", F.substring(text_col, lo, F.col("col") - lo)).drop("__row", "__i", "__x")
+
+
 def pattern(regex: str, message: str, unless: str | None = None):
-    """A rule on lines: each line that the pattern is found in, at its first place."""
+    """A rule on lines: every match of the pattern, at its place; `unless` is an exception that ends where the match does."""
 
     def run(facts: Facts, config: dict) -> DataFrame:
-        rows = facts["lines"].filter(F.col("text").rlike(regex))
+        rows = matches(facts["lines"], regex)
         if unless:
-            rows = rows.filter(~F.col("text").rlike(unless))
-        # what stands before the first match gives its column
-        before = F.length(F.element_at(F.split("text", regex, 2), 1))
-        return at(rows.withColumn("col", before + 1).withColumn("found", F.regexp_extract("text", regex, 0)), message)
+            rows = rows.filter(~F.concat("before", "found").rlike(f"(?:{unless})$"))
+        return at(rows, message)
 
     return run
 

@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 
 from siftwork.functions.scalars import colour_distance, contrast
 from siftwork.operators.ordered import dead_stores
-from siftwork.rules.registry import RULES, at, occurrences, pattern, register, setting, undefined, where
+from siftwork.rules.registry import RULES, at, matches, occurrences, pattern, register, setting, undefined, where
 from siftwork.sources.facts import Facts
 
 
@@ -17,7 +17,7 @@ def unused(define: str, use: tuple[str, ...], message: str):
 
     def run(facts: Facts, config: dict) -> DataFrame:
         used = occurrences(facts, *use).select("doc_id", "key").distinct()
-        return at(occurrences(facts, define).join(used, ["doc_id", "key"], "left_anti"), message)
+        return at(occurrences(facts, define).filter(F.col("key").isNotNull()).join(used, ["doc_id", "key"], "left_anti"), message)
 
     return run
 
@@ -149,8 +149,8 @@ def _user_pattern(facts: Facts, config: dict) -> DataFrame:
     plain = facts["lines"].withColumn("text", F.regexp_extract("text", r"^((?:[^%\\]|\\.)*+\\?)", 1))
     none = at(plain.limit(0), "")
     for p in wanted:
-        hit = F.col("text").rlike(p["pattern"]) if "pattern" in p else F.contains("text", F.lit(p["text"]))
-        none = none.unionByName(at(plain.filter(hit), F.lit(p.get("message", "found"))))
+        regex = p["pattern"] if "pattern" in p else r"\Q" + p["text"].replace(r"\E", r"\E\\E\Q") + r"\E"
+        none = none.unionByName(at(matches(plain, regex), F.lit(p.get("message", "found"))))
     return none
 
 
@@ -242,7 +242,7 @@ register("S057", "itemize-described", "info", _lists(r"^\s*(\\textbf\{[^}]*\}|[A
 register("S058", "package-successor", "info", _successor, "loads", "packages")
 register("S059", "bare-reference", "info", pattern(r"(?:^|[.(]\s*)\\ref\b", "a number without its kind"), "lines")
 register("S060", "doubled-punctuation", "warning", pattern(r"(?:,,|;;|::|,\.|\.,|(?<!\.)\.\.(?!\.))(?=\s|$)", "$found"), "lines")
-register("S061", "sentence-capital", "warning", pattern(r"[a-z]{2}[.!?] +[a-z]{2}", "a sentence starts small: $found", unless=r"\b(e\.g|i\.e|cf|etc|vs|al)\. "), "lines")
+register("S061", "sentence-capital", "warning", pattern(r"[a-z]{2}[.!?] +[a-z]{2}", "a sentence starts small: $found", unless=r"\b(e\.g|i\.e|cf|etc|vs|al)\. +[a-z]{2}"), "lines")
 register("S062", "overfull-line", "warning", _long_lines, "overfull", "lines")
 register("S063", "overfull-box", "warning", where("overfull", "what = 'box'", "the box is $excess too full"), "overfull")
 register("S064", "wider-than-line", "warning", where("overfull", "what = 'object'", "$excess wider than the line"), "overfull")
