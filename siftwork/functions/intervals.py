@@ -135,3 +135,9 @@ def muldiv(x: Column, n: Column, d: Column) -> Column:
     product = x.cast("decimal(19,0)") * n.cast("decimal(19,0)")
     size = F.floor((F.abs(product) * 2 + F.abs(d)) / (F.abs(d) * 2)).cast("long")
     return F.when(d != 0, F.when((product < 0) != (d < 0), -size).otherwise(size))
+
+
+def uniform(n: Column) -> Column:
+    """The interval that a uniform draw below n can fall into: an interval, not a sample; the whole range for an unknown n."""
+    top = INT_MAX - 1
+    return F.when(n > 0, interval(F.lit(0), n - 1)).when(n < 0, interval(n + 1, F.lit(0))).when(n == 0, exact(F.lit(0))).otherwise(interval(F.lit(-top), F.lit(top)))

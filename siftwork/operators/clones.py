@@ -1,9 +1,12 @@
 """Clone detection: long runs of tokens that stand in several places.
 
-Windows of SEED tokens are hashed; a window that occurs again is matched with
-its last earlier occurrence, so rows stay linear however often it repeats. Matches
-on one diagonal whose gaps are small chain into a clone; a clone is kept if the
-matched tokens are enough and cover enough of its span.
+Windows of SHARED tokens are hashed; one that stands in an earlier place too is
+matched with the first of them, so every literal run of SHARED tokens is found,
+whatever parts of it stand elsewhere. Windows of SEED tokens find runs with
+gaps: each is matched with its last earlier occurrence, so rows stay linear
+however often it repeats; matches on one diagonal whose gaps are small chain
+into a clone, which is kept if the matched tokens are enough and cover enough
+of its span.
 """
 
 from __future__ import annotations
@@ -32,23 +35,38 @@ def windows(docs: DataFrame, seed: int = SEED, text_col: str = "text", id_col: s
     return arrays.select("doc_id", F.posexplode(each).alias("idx", "w")).select("doc_id", "idx", "w.hash", "w.value")
 
 
-def clones(docs: DataFrame, seed: int = SEED, shared: int = SHARED, similarity: float = SIMILARITY, value_share: float = VALUE_SHARE, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """(a_doc, a_first, a_last, b_doc, b_first, b_last, shared): runs matched with an earlier place."""
-    rows = windows(docs, seed, text_col, id_col)
-    again = rows.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("hash")
-    w = W.partitionBy("hash").orderBy("doc_id", "idx")
-    hit = rows.join(again, "hash", "left_semi").withColumn("before", F.lag(F.struct("doc_id", "idx")).over(w)).filter("before IS NOT NULL")
+def _earlier(rows: DataFrame, seed: int, first: bool) -> DataFrame:
+    """(a_doc, a, b_doc, b, value): windows with an earlier place of the same hash, the first or the last one."""
+    place = F.struct("doc_id", "idx")
+    if first:
+        lead = rows.groupBy("hash").agg(F.min(place).alias("before"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("hash", "before")
+        hit = rows.join(lead, "hash").filter(F.col("before") < place)
+    else:
+        again = rows.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("hash")
+        hit = rows.join(again, "hash", "left_semi").withColumn("before", F.lag(place).over(W.partitionBy("hash").orderBy("doc_id", "idx"))).filter("before IS NOT NULL")
     hit = hit.select(F.col("before.doc_id").alias("a_doc"), F.col("before.idx").alias("a"), F.col("doc_id").alias("b_doc"), F.col("idx").alias("b"), "value")
-    hit = hit.filter("a_doc <> b_doc OR b - a >= " + str(seed))
+    return hit.filter("a_doc <> b_doc OR b - a >= " + str(seed))
+
+
+def _chained(hit: DataFrame, seed: int, room: int) -> DataFrame:
+    """Runs of matches on a diagonal with gaps of at most `room`: their ends, matched tokens and share of values."""
     diagonal = W.partitionBy("a_doc", "b_doc", "d").orderBy("b")
     hit = hit.withColumn("d", F.col("b") - F.col("a")).withColumn("gap", F.col("b") - F.lag("b").over(diagonal))
+    hit = hit.withColumn("new", F.coalesce((F.col("gap") > room).cast("int"), F.lit(1))).withColumn("run", F.sum("new").over(diagonal.rowsBetween(W.unboundedPreceding, 0)))
+    fresh = F.when(F.col("new") == 1, F.lit(seed)).otherwise(F.least("gap", F.lit(seed)))
+    return hit.groupBy("a_doc", "b_doc", "d", "run").agg(F.min("a").alias("a_first"), (F.max("a") + seed - 1).alias("a_last"), F.min("b").alias("b_first"), (F.max("b") + seed - 1).alias("b_last"), F.sum(fresh).alias("shared"), F.avg("value").alias("values"))
+
+
+def clones(docs: DataFrame, seed: int = SEED, shared: int = SHARED, similarity: float = SIMILARITY, value_share: float = VALUE_SHARE, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """(a_doc, a_first, a_last, b_doc, b_first, b_last, shared): runs matched with an earlier place; of runs that start alike on one diagonal the longest."""
     # a gap may hold so many unmatched tokens as the similarity leaves room for
     room = int(shared * (1 - similarity) / similarity) + seed
-    hit = hit.withColumn("new", F.coalesce((F.col("gap") > room).cast("int"), F.lit(1))).withColumn("run", F.sum("new").over(diagonal.rowsBetween(W.unboundedPreceding, 0)))
-    fresh = F.least(F.coalesce(F.when(F.col("new") == 1, F.lit(seed)).otherwise(F.col("gap")), F.lit(seed)), F.lit(seed))
-    runs = hit.groupBy("a_doc", "b_doc", "d", "run").agg(F.min("a").alias("a_first"), (F.max("a") + seed - 1).alias("a_last"), F.min("b").alias("b_first"), (F.max("b") + seed - 1).alias("b_last"), F.sum(fresh).alias("shared"), F.avg("value").alias("values"))
+    near = _chained(_earlier(windows(docs, seed, text_col, id_col), seed, False), seed, room)
+    whole = _chained(_earlier(windows(docs, shared, text_col, id_col), seed, True), shared, 1)
     span = F.col("b_last") - F.col("b_first") + 1
-    return runs.filter((F.col("shared") >= shared) & (F.col("shared") >= similarity * span) & (F.col("values") <= value_share)).select("a_doc", "a_first", "a_last", "b_doc", "b_first", "b_last", "shared")
+    kept = near.unionByName(whole).filter((F.col("shared") >= shared) & (F.col("shared") >= similarity * span) & (F.col("values") <= value_share))
+    best = kept.groupBy("a_doc", "b_doc", "d", "b_first").agg(F.max_by(F.struct("a_first", "a_last", "b_last", "shared"), F.struct("b_last", "shared")).alias("m"))
+    return best.select("a_doc", "m.a_first", "m.a_last", "b_doc", "b_first", "m.b_last", "m.shared")
 
 
 def clone_groups(lines: DataFrame, **limits) -> DataFrame:

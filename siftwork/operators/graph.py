@@ -151,3 +151,10 @@ def dot(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     lines = edges.select(F.format_string("  n%s -> n%s;", F.col("src").cast("string"), F.col("dst").cast("string")).alias("line"))
     spark = vertices.sparkSession
     return spark.createDataFrame([("digraph {",)], "line string").unionByName(nodes).unionByName(lines).unionByName(spark.createDataFrame([("}",)], "line string"))
+
+
+def json_lines(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+    """(line): a graph as JSON, one object a vertex and one an edge, told apart by `id` and `src`."""
+    have = [c for c in ("tag", "name", "file", "line", "col", "within") if c in vertices.columns]
+    nodes = vertices.select(F.to_json(F.struct(F.col("node").alias("id"), *have), {"ignoreNullFields": "false"}).alias("line"))
+    return nodes.unionByName(edges.select(F.to_json(F.struct("src", "dst", "kind")).alias("line")))

@@ -6,6 +6,7 @@ name, filters it and orders it by place.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -228,6 +229,51 @@ def controls(facts: Facts) -> DataFrame:
     return rows.join(name, ["doc_id", "src"]).groupBy("doc_id", "switch").agg(F.count_distinct("dst").alias("governed"))
 
 
+#: Names that a row of offered options shows.
+OFFERED = 8
+
+
+@view("switches")
+def switches(facts: Facts) -> DataFrame:
+    """(doc_id, tag, name, by, value, governs): conditionals a document declares, the options it passes, and what packages offer.
+
+    A switch is true or false if its body is, else undecided; governs counts the rows it decides about.
+    """
+    d = facts["defs"]
+    declared = F.col("by").rlike("^(new|provide)") & (F.col("name").startswith("if") | F.contains("by", F.lit("if")))
+    truth = F.when(F.col("body").rlike(r"^\\?iftrue$"), "true").when(F.col("body").rlike(r"^\\?iffalse$"), "false")
+    first = d.filter(F.coalesce(declared, F.lit(False)) | truth.isNotNull()).groupBy("doc_id", "name").agg(F.min_by("by", "node").alias("by"), F.min_by("body", "node").alias("body"))
+    counts = controls(facts).withColumnRenamed("switch", "name")
+    own = first.join(counts, ["doc_id", "name"], "left").select("doc_id", F.lit("switch").alias("tag"), "name", "by", F.coalesce(truth, F.lit("undecided")).alias("value"), F.coalesce("governed", F.lit(0)).cast("long").alias("governs"))
+    passed = facts["loads"].filter(F.size("options") > 0).select("doc_id", F.lit("option").alias("tag"), "name", F.col("kind").alias("by"), F.array_join("options", ", ").alias("value"), F.lit(None).cast("long").alias("governs"))
+    return own.unionByName(passed).unionByName(offered_options(facts))
+
+
+@view("offered-options")
+def offered_options(facts: Facts) -> DataFrame:
+    """Rows like those of `switches`: what each package accepts, the first OFFERED names in order and how many more."""
+    d = facts["defs"].filter("tag = 'option' AND subject RLIKE '^[A-Za-z0-9]'").groupBy("doc_id", F.coalesce("package", "file").alias("name"), "subject").agg(F.min("node").alias("node"))
+    lists = d.groupBy("doc_id", "name").agg(F.transform(F.array_sort(F.collect_list(F.struct("node", "subject"))), lambda x: x["subject"]).alias("all"))
+    more = F.size("all") - OFFERED
+    shown = F.concat(F.array_join(F.slice("all", 1, OFFERED), ", "), F.when(more > 0, F.concat(F.lit(", and "), more.cast("string"), F.lit(" more"))).otherwise(""))
+    return lists.select("doc_id", F.lit("offered").alias("tag"), "name", F.lit("package").alias("by"), shown.alias("value"), F.size("all").cast("long").alias("governs"))
+
+
+@view("option-values")
+def option_values(facts: Facts, package: str, key: str) -> DataFrame:
+    """(doc_id, value): values that the definitions of a package, and of what it loads, give to a key."""
+    check_pattern(re.escape(key))
+    stem = lambda c: F.regexp_replace(c, r"\.(sty|cls)$", "")
+    loads = facts["loads"].filter("by IS NOT NULL").select("doc_id", stem(F.col("by")).alias("by"), stem(F.col("name")).alias("name"))
+    node = lambda c: F.struct("doc_id", F.col(c).alias("name"))
+    edges = loads.select(node("by").alias("src"), node("name").alias("dst"), F.lit(1).alias("kind"))
+    start = facts["defs"].select("doc_id").distinct().withColumn("name", F.lit(package)).select(node("name").alias("node"))
+    found = graph.reach(edges, start).select("node.doc_id", F.col("node.name").alias("package"))
+    rows = facts["defs"].filter("body IS NOT NULL").withColumn("package", stem(F.col("package"))).join(found.distinct(), ["doc_id", "package"], "left_semi")
+    value = rf"(?:^|[,{{\s]){re.escape(key)}\s*=\s*([A-Za-z0-9][\w.:-]*)"
+    return rows.select("doc_id", F.explode(F.regexp_extract_all("body", F.lit(value), F.lit(1))).alias("value")).distinct()
+
+
 def summary(facts: Facts) -> DataFrame:
     """(doc_id, file, tag, names): distinct names a file defines by tag, in the order seen."""
     return ordered.first_seen_list(facts["defs"], ["doc_id", "file", "tag"], "name", ["node"])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from siftwork import fact_queries, sinks
-from siftwork.functions import intervals, scalars
+from siftwork.functions import intervals, parsing, scalars
 from siftwork.functions.filters import PRESENT, apply_filter
 from siftwork.operators import clones, components, graph, ordered, rewrite, search
 from siftwork.sources.tables import table
@@ -361,6 +361,29 @@ def scalar_texts(spark, sf_dir):
     return table(spark, sf_dir, "nation").select("n_nationkey", scalars.md5_upper(n).alias("digest"), scalars.hex_escape(n).alias("escaped"), scalars.compare(n, F.lit("FRANCE")).alias("ordered"))
 
 
+_UNITS = ["pt", "in", "cm", "bp", "sp"]
+
+
+@register("scalar_parses", """WITH p AS (SELECT p_partkey, p_size, CAST(p_size AS BIGINT) * 1000 + p_partkey % 1000 AS num, CASE WHEN p_partkey % 3 = 0 THEN -1 ELSE 1 END AS sign, p_partkey % 5 AS u FROM part)
+SELECT p_partkey, cast(sign * ((((num * 131072 + 1000) // 2000) * CASE u WHEN 1 THEN 7227 WHEN 2 THEN 7227 WHEN 3 THEN 7227 ELSE 1 END) // CASE u WHEN 1 THEN 100 WHEN 2 THEN 254 WHEN 3 THEN 7200 WHEN 4 THEN 65536 ELSE 1 END) AS BIGINT) AS scaled, true AS reads_back, p_partkey AS number, cast((2 * (p_partkey + 3) * p_size + 7) // 14 AS BIGINT) AS value, printf('#%02x%02x%02x', cast(floor(p_size / 50.0 * 255 + 0.5) AS INTEGER), 255, 0) AS colour, CASE WHEN p_partkey % 2 = 0 THEN 0 ELSE -9 END AS low, CASE WHEN p_partkey % 2 = 0 THEN 9 ELSE 0 END AS high FROM p""")
+def scalar_parses(spark, sf_dir):
+    """Lengths, numbers, expressions and colours written as text and read again."""
+    unit = F.element_at(F.array(*map(F.lit, _UNITS)), (F.col("p_partkey") % 5 + 1).cast("int"))
+    size = F.concat(F.when(F.col("p_partkey") % 3 == 0, "- ").otherwise(""), F.col("p_size"), F.lit("."), F.lpad((F.col("p_partkey") % 1000).cast("string"), 3, "0"), unit)
+    scaled = parsing.parse_dimension(size)
+    draw = intervals.uniform(F.when(F.col("p_partkey") % 2 == 0, 10).otherwise(-10))
+    colour = parsing.rgb_hex(parsing.driver_rgb(F.concat(F.lit("rgb "), (F.col("p_size") / 50).cast("string"), F.lit(" 1 0"))))
+    value = parsing.evaluate(F.concat(F.lit("("), "p_partkey", F.lit("+3)*"), "p_size", F.lit("/7")))
+    rows = table(spark, sf_dir, "part").withColumn("scaled", scaled)
+    return rows.select("p_partkey", "scaled", (parsing.parse_dimension(parsing.render_dimension(F.col("scaled"))) == F.col("scaled")).alias("reads_back"), parsing.parse_integer(F.concat(F.lit('"'), F.hex("p_partkey"))).alias("number"), value.alias("value"), colour.alias("colour"), draw["lo"].cast("int").alias("low"), draw["hi"].cast("int").alias("high"))
+
+
+@register("graph_json", "SELECT '{\"id\":' || n_nationkey || ',\"name\":\"' || n_name || '\"}' AS line FROM nation UNION ALL SELECT '{\"src\":' || n_nationkey || ',\"dst\":' || n_regionkey || ',\"kind\":1}' FROM nation")
+def graph_json(spark, sf_dir):
+    n = table(spark, sf_dir, "nation")
+    return graph.json_lines(n.select(F.col("n_nationkey").alias("node"), F.col("n_name").alias("name")), n.select(F.col("n_nationkey").alias("src"), F.col("n_regionkey").alias("dst"), F.lit(1).alias("kind")))
+
+
 # --- texts
 
 

@@ -146,6 +146,15 @@ def test_literal_is_no_pattern(spark):
     assert [r["id"] for r in search.literal("a.b", x=(df, "id", "t")).collect()] == ["1"] and search.literal("", x=(df, "id", "t")).count() == 0
 
 
+def test_clones_past_partial_copies(spark):
+    """A passage whose start also stands elsewhere, before and between, is matched whole."""
+    w = [f"\\a{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(60)]
+    texts = [" ".join(["\\e", *w[:30]]), " ".join(["\\x", *w]), " ".join([*w[:30], "\\y"]), " ".join(w)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {(r["a_doc"], r["b_doc"], r["a_first"], r["b_first"], r["shared"]) for r in clones.clones(docs).collect()}
+    assert rows == {(1, 3, 1, 0, 60)}
+
+
 def test_clones(spark):
     rng = random.Random(5)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
