@@ -7,6 +7,8 @@ executor.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,33 +38,49 @@ def reach(edges: DataFrame, start: DataFrame, mask: int | None = None, forward:
     if limit is not None:
         steps = steps.filter(F.col("__to") <= limit)
     steps = materialize(steps, "steps")
-    seen = materialize(start.select("node").filter("node IS NOT NULL").distinct().withColumn("depth", F.lit(0)), "seen")
-    edge, depth = seen, 0
+    edge = materialize(start.select("node").filter("node IS NOT NULL").distinct().withColumn("depth", F.lit(0)), "edge")
+    levels, depth = [edge], 0
     while depth < (max_rounds if max_depth is None else max_depth):
         depth += 1
         ahead = steps.join(edge.select("node"), "node").select(F.col("__to").alias("node")).distinct()
-        edge = materialize(ahead.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)), "edge")
+        edge = materialize(ahead.join(_union(levels).select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)), "edge")
         if edge.isEmpty():
             break
-        more = materialize(seen.unionByName(edge), "seen")
-        release(seen)
-        seen = more
-    return seen
+        levels = _appended(levels, edge)
+    release(steps)
+    return _union(levels)
+
+
+#: Written levels that a loop keeps apart before it writes them as one.
+LEVELS = 16
+
+
+def _union(levels: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, levels)
+
+
+def _appended(levels: list[DataFrame], new: DataFrame) -> list[DataFrame]:
+    """The written levels with one more; a level is written anew once in LEVELS rounds, not each time."""
+    levels = [*levels, new]
+    if len(levels) < LEVELS:
+        return levels
+    whole = materialize(_union(levels), "seen")
+    for x in levels[:-1]:  # the last one is still walked on from
+        release(x)
+    return [whole]
 
 
-def closure(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
-    """(src, dst): every pair with a path of one step or more, by doubling."""
-    now = materialize(edges.select("src", "dst").filter("src IS NOT NULL AND dst IS NOT NULL").distinct(), "closure")
-    n = now.count()
+def closure(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+    """(src, dst): every pair with a path of one step or more. Each round walks on by one edge from the pairs that the last one found."""
+    steps = materialize(edges.select("src", "dst").filter("src IS NOT NULL AND dst IS NOT NULL").distinct(), "steps")
+    new, levels = steps, [steps]
     for _ in range(max_rounds):
-        longer = now.alias("p").join(now.alias("q"), F.col("p.dst") == F.col("q.src")).select(F.col("p.src"), F.col("q.dst"))
-        more = materialize(now.unionByName(longer).distinct(), "closure")
-        count = more.count()
-        release(now)
-        now = more
-        if count == n:
-            return now
-        n = count
+        ahead = new.alias("p").join(steps.alias("e"), F.col("p.dst") == F.col("e.src")).select(F.col("p.src"), F.col("e.dst")).distinct()
+        new = materialize(ahead.join(_union(levels), ["src", "dst"], "left_anti"), "closure")
+        if new.isEmpty():
+            return _union(levels)
+        # the steps stay: every round reads them
+        levels = [steps, *_appended(levels[1:], new)]
     raise RuntimeError(f"no closure in {max_rounds} rounds")
 
 
@@ -84,6 +102,7 @@ def cycles(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
             ins, outs = rest.select(F.col("dst").alias("src")).distinct(), rest.select(F.col("src").alias("dst")).distinct()
             less = materialize(rest.join(ins, "src", "left_semi").join(outs, "dst", "left_semi").select("src", "dst"), "edges")
             m = less.count()
+            release(rest)
             rest = less
             if m == n:
                 break
@@ -94,6 +113,7 @@ def cycles(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
             ahead = rest.join(colour, rest.src == colour.node).select(F.col("dst").alias("node"), "colour")
             new = materialize(colour.unionByName(ahead).groupBy("node").agg(F.max("colour").alias("colour")), "colour")
             changed = not new.join(colour, ["node", "colour"], "left_anti").isEmpty()
+            release(colour)
             colour = new
             if not changed:
                 break
@@ -103,7 +123,10 @@ def cycles(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
         part = reach(inside.withColumn("kind", F.lit(1)), colour.filter("node = colour").select("node"), forward=True).select("node")
         part = materialize(part.join(colour, "node").select("node", F.col("colour").alias("component")), "component")
         found.append(part)
-        rest = materialize(rest.join(part.select(F.col("node").alias("src")), "src", "left_anti").join(part.select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst"), "edges")
+        less = materialize(rest.join(part.select(F.col("node").alias("src")), "src", "left_anti").join(part.select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst"), "edges")
+        for done in (rest, colour, inside):
+            release(done)
+        rest = less
     spark = edges.sparkSession
     every = found[0] if found else spark.createDataFrame([], f"node {edges.schema['src'].dataType.simpleString()}, component {edges.schema['src'].dataType.simpleString()}")
     for p in found[1:]:

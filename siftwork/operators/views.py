@@ -260,7 +260,7 @@ def offered_options(facts: Facts) -> DataFrame:
 
 
 @view("option-values")
-def option_values(facts: Facts, package: str, key: str) -> DataFrame:
+def option_values(facts: Facts, package: str = "", key: str = "") -> DataFrame:
     """(doc_id, value): values that the definitions of a package, and of what it loads, give to a key."""
     check_pattern(re.escape(key))
     stem = lambda c: F.regexp_replace(c, r"\.(sty|cls)$", "")

@@ -141,9 +141,9 @@ def precision_spread(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").groupBy("l_linenumber").agg(F.min(cents).alias("lo"), F.max(cents).alias("hi"))
 
 
-@register("settings_difference", "SELECT coalesce(a.t, b.t) AS event_type, a.n AS low_users, b.n AS high_users FROM (SELECT event_type t, count(*) n FROM events WHERE user_id < 20 AND value > 60 GROUP BY 1) a FULL JOIN (SELECT event_type t, count(*) n FROM events WHERE user_id >= 20 AND value > 60 GROUP BY 1) b ON a.t = b.t WHERE a.n IS DISTINCT FROM b.n")
+@register("settings_difference", "SELECT coalesce(a.t, b.t) AS event_type, a.n AS low_users, b.n AS high_users FROM (SELECT event_type t, count(*) n FROM events WHERE user_id < 20 GROUP BY 1) a FULL JOIN (SELECT event_type t, count(*) n FROM events WHERE user_id >= 20 GROUP BY 1) b ON a.t = b.t WHERE a.n IS DISTINCT FROM b.n")
 def settings_difference(spark, sf_dir):
-    e = table(spark, sf_dir, "events").filter("value > 60")
+    e = table(spark, sf_dir, "events")
     a = e.filter("user_id < 20").groupBy("event_type").agg(F.count(F.lit(1)).alias("low_users"))
     b = e.filter("user_id >= 20").groupBy("event_type").agg(F.count(F.lit(1)).alias("high_users"))
     return a.join(b, "event_type", "full").filter(~F.col("low_users").eqNullSafe(F.col("high_users")))
@@ -247,15 +247,15 @@ def span_containment(spark, sf_dir):
 # --- graphs: who buys next
 
 
-_CHAIN = "WITH RECURSIVE c AS (SELECT user_id AS dst, lag(user_id) OVER (ORDER BY ts, event_id) AS src FROM events WHERE event_type = 'purchase' AND value > {}), e AS (SELECT DISTINCT src, dst FROM c WHERE src IS NOT NULL)"
+_CHAIN = "WITH RECURSIVE c AS (SELECT user_id AS dst, lag(user_id) OVER (ORDER BY ts, event_id) AS src FROM events WHERE event_type = 'purchase'), e AS (SELECT DISTINCT src, dst FROM c WHERE src IS NOT NULL)"
 
 
-def _chain(spark: SparkSession, sf_dir: str, above: float) -> DataFrame:
+def _chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges from a buyer to the next one in time, over the whole stream.
 
     The row before is found without one partition for all: ranks within days, and the last row of the day before.
     """
-    rows = table(spark, sf_dir, "events").filter((F.col("event_type") == "purchase") & (F.col("value") > above)).select("ts", "event_id", "user_id", F.to_date("ts").alias("day"))
+    rows = table(spark, sf_dir, "events").filter(F.col("event_type") == "purchase").select("ts", "event_id", "user_id", F.to_date("ts").alias("day"))
     w = W.partitionBy("day").orderBy("ts", "event_id")
     rows = rows.withColumn("src", F.lag("user_id").over(w))
     last = rows.groupBy("day").agg(F.max_by("user_id", F.struct("ts", "event_id")).alias("last"))
@@ -263,52 +263,52 @@ def _chain(spark: SparkSession, sf_dir: str, above: float) -> DataFrame:
     return rows.join(F.broadcast(days), "day").select(F.coalesce("src", "carried").alias("src"), F.col("user_id").alias("dst")).filter("src IS NOT NULL").distinct()
 
 
-@register("slice_backward", _CHAIN.format(70) + ", r AS (SELECT 7::BIGINT AS node UNION SELECT e.dst FROM e JOIN r ON e.src = r.node) SELECT node FROM r")
+@register("slice_backward", _CHAIN + ", r AS (SELECT 7::BIGINT AS node UNION SELECT e.dst FROM e JOIN r ON e.src = r.node) SELECT node FROM r")
 def slice_backward(spark, sf_dir):
     start = spark.createDataFrame([(7,)], "node long")
-    return graph.reach(_chain(spark, sf_dir, 70), start).select("node")
+    return graph.reach(_chain(spark, sf_dir), start).select("node")
 
 
-@register("slice_forward", _CHAIN.format(70) + ", r AS (SELECT 7::BIGINT AS node UNION SELECT e.src FROM e JOIN r ON e.dst = r.node) SELECT node FROM r")
+@register("slice_forward", _CHAIN + ", r AS (SELECT 7::BIGINT AS node UNION SELECT e.src FROM e JOIN r ON e.dst = r.node) SELECT node FROM r")
 def slice_forward(spark, sf_dir):
-    return graph.reach(_chain(spark, sf_dir, 70), spark.createDataFrame([(7,)], "node long"), forward=True).select("node")
+    return graph.reach(_chain(spark, sf_dir), spark.createDataFrame([(7,)], "node long"), forward=True).select("node")
 
 
-@register("slice_limit", _CHAIN.format(60) + ", r AS (SELECT 7::BIGINT AS node UNION SELECT e.dst FROM e JOIN r ON e.src = r.node WHERE e.dst <= 60) SELECT node FROM r")
+@register("slice_limit", _CHAIN + ", r AS (SELECT 7::BIGINT AS node UNION SELECT e.dst FROM e JOIN r ON e.src = r.node WHERE e.dst <= 60) SELECT node FROM r")
 def slice_limit(spark, sf_dir):
-    return graph.reach(_chain(spark, sf_dir, 60), spark.createDataFrame([(7,)], "node long"), limit=60).select("node")
+    return graph.reach(_chain(spark, sf_dir), spark.createDataFrame([(7,)], "node long"), limit=60).select("node")
 
 
-@register("bounded_walk", _CHAIN.format(60) + ", r AS (SELECT 7::BIGINT AS node, 0 AS depth UNION SELECT e.dst, r.depth + 1 FROM e JOIN r ON e.src = r.node WHERE r.depth < 3) SELECT node, min(depth) AS depth FROM r GROUP BY node")
+@register("bounded_walk", _CHAIN + ", r AS (SELECT 7::BIGINT AS node, 0 AS depth UNION SELECT e.dst, r.depth + 1 FROM e JOIN r ON e.src = r.node WHERE r.depth < 3) SELECT node, min(depth) AS depth FROM r GROUP BY node")
 def bounded_walk(spark, sf_dir):
-    return graph.reach(_chain(spark, sf_dir, 60), spark.createDataFrame([(7,)], "node long"), max_depth=3)
+    return graph.reach(_chain(spark, sf_dir), spark.createDataFrame([(7,)], "node long"), max_depth=3)
 
 
-@register("recursion_scc", _CHAIN.format(90) + ", r AS (SELECT src AS a, dst AS b FROM e UNION SELECT r.a, e.dst FROM r JOIN e ON r.b = e.src), p AS (SELECT DISTINCT x.a AS node, x.b AS other FROM r x JOIN r y ON x.a = y.b AND x.b = y.a) SELECT node, min(other) AS component, CASE WHEN count(*) > 1 THEN 'mutual' ELSE 'direct' END AS kind FROM p GROUP BY node")
+@register("recursion_scc", _CHAIN + ", r AS (SELECT src AS a, dst AS b FROM e UNION SELECT r.a, e.dst FROM r JOIN e ON r.b = e.src), p AS (SELECT DISTINCT x.a AS node, x.b AS other FROM r x JOIN r y ON x.a = y.b AND x.b = y.a) SELECT node, min(other) AS component, CASE WHEN count(*) > 1 THEN 'mutual' ELSE 'direct' END AS kind FROM p GROUP BY node")
 def recursion_scc(spark, sf_dir):
-    return graph.cycles(_chain(spark, sf_dir, 90))
+    return graph.cycles(_chain(spark, sf_dir))
 
 
-@register("transitive_closure", _CHAIN.format(95) + ", r AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON r.dst = e.src) SELECT src, dst FROM r")
+@register("transitive_closure", _CHAIN + ", r AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON r.dst = e.src) SELECT src, dst FROM r")
 def transitive_closure(spark, sf_dir):
-    return graph.closure(_chain(spark, sf_dir, 95))
+    return graph.closure(_chain(spark, sf_dir))
 
 
-@register("connected_groups", _CHAIN.format(95) + ", u AS (SELECT src AS a, dst AS b FROM e UNION SELECT dst, src FROM e), r AS (SELECT a AS node, a AS other FROM u UNION SELECT r.node, u.b FROM r JOIN u ON r.other = u.a) SELECT node, min(other) AS component FROM r WHERE node IN (SELECT a FROM u WHERE a <> b) GROUP BY node")
+@register("connected_groups", _CHAIN + ", u AS (SELECT src AS a, dst AS b FROM e UNION SELECT dst, src FROM e), r AS (SELECT a AS node, a AS other FROM u UNION SELECT r.node, u.b FROM r JOIN u ON r.other = u.a) SELECT node, min(other) AS component FROM r WHERE node IN (SELECT a FROM u WHERE a <> b) GROUP BY node")
 def connected_groups(spark, sf_dir):
-    return components.connected_components(_chain(spark, sf_dir, 95))
+    return components.connected_components(_chain(spark, sf_dir))
 
 
-@register("dependency_graph", _CHAIN.format(60) + " SELECT src AS node, string_agg(cast(dst AS VARCHAR), ',' ORDER BY dst) AS edges FROM e GROUP BY src")
+@register("dependency_graph", _CHAIN + " SELECT src AS node, string_agg(cast(dst AS VARCHAR), ',' ORDER BY dst) AS edges FROM e GROUP BY src")
 def dependency_graph(spark, sf_dir):
-    e = _chain(spark, sf_dir, 60)
+    e = _chain(spark, sf_dir)
     rows = graph.adjacency(e.select(F.col("src").alias("node")).distinct(), e.withColumn("kind", F.lit(1)))
     return rows.select("node", F.array_join(F.transform("edges", lambda x: x["dst"].cast("string")), ",").alias("edges"))
 
 
-@register("dot_lines", _CHAIN.format(95) + " SELECT '  n' || src || ' -> n' || dst || ';' AS line FROM e UNION ALL SELECT '  n' || n || ' [label=\"' || n || '\"];' FROM (SELECT src AS n FROM e UNION SELECT dst FROM e) UNION ALL SELECT 'digraph {' UNION ALL SELECT '}'")
+@register("dot_lines", _CHAIN + " SELECT '  n' || src || ' -> n' || dst || ';' AS line FROM e UNION ALL SELECT '  n' || n || ' [label=\"' || n || '\"];' FROM (SELECT src AS n FROM e UNION SELECT dst FROM e) UNION ALL SELECT 'digraph {' UNION ALL SELECT '}'")
 def dot_lines(spark, sf_dir):
-    e = _chain(spark, sf_dir, 95)
+    e = _chain(spark, sf_dir)
     v = e.select(F.col("src").alias("node")).union(e.select("dst")).distinct().withColumn("name", F.col("node").cast("string"))
     return graph.dot(v, e)
 
