@@ -463,7 +463,10 @@ def rewrite_fix_point(spark, sf_dir):
     return rows.select("doc_id", F.md5("text").alias("digest"))
 
 
-@register("line_diff")
+@register("line_diff", """WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents WHERE contains(text, 'idiot')), l AS (SELECT doc_id, unnest(s) AS line, generate_subscripts(s, 1) AS i FROM d),
+c AS (SELECT *, contains(line, 'idiot') AS ch, i - row_number() OVER (PARTITION BY doc_id, contains(line, 'idiot') ORDER BY i) AS g FROM l), b AS (SELECT *, CASE WHEN ch THEN min(i) OVER (PARTITION BY doc_id, ch, g) ELSE i END AS p FROM c),
+o AS (SELECT doc_id, p, 0 AS z, i, CASE WHEN ch THEN '-' ELSE ' ' END AS sign, line FROM b UNION ALL SELECT doc_id, p, 1, i, '+', replace(line, 'idiot', 'person') FROM b WHERE ch)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY p, z, i) - 1 AS no, sign, line FROM o""")
 def line_diff(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
     return rewrite.diff(d, d.withColumn("text", F.regexp_replace("text", "idiot", "person")))
@@ -522,7 +525,10 @@ def lint_statistics(spark, sf_dir):
     return sinks.statistics(_findings(spark, sf_dir, *text))
 
 
-@register("annotations")
+_FOUND = _LINES + "SELECT '::warning file=document,line=' || line || ',col=' || col || ',title=' || title || '::' || replace(message, '%', '%25') AS value FROM (SELECT line, col, 'sentence-capital' AS title, 'a sentence starts small: ' || found AS message FROM ({}) UNION ALL SELECT line, col, 'et-al', found || ' is not right' FROM ({}) WHERE found <> 'et al.')"
+
+
+@register("annotations", _FOUND.format(fact_queries.line_rule("S061", "found"), fact_queries.line_rule("S054", "found")))
 def annotations(spark, sf_dir):
     return sinks.github(_findings(spark, sf_dir, "et-al", "sentence-capital"))
 
