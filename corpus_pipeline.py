@@ -21,7 +21,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates stays, the one with the smallest id: 5-word shingles, similarity 0.8 or more."""
+    """One document of each class of near-duplicates stays, the one with the smallest id: SimHash links of 5-word shingles, verified at a similarity of 0.8 or more."""
     return similar.keep_one(docs)
 
 

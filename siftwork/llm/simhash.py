@@ -10,6 +10,13 @@ bucket the verified links are reduced to a spanning forest before they leave
 the task: the classes stay the same and rows stay linear in the bucket. A
 bucket beyond BLOCK fingerprints is not compared in one task but spread over
 pairs of blocks.
+
+Texts that share most but not all of their shingles differ in more bits than one
+fingerprint of 64 can tell from chance. For them the fingerprint is wide: WORDS
+words of 64 bits from the set of shingles, in segments of 16 bits that are
+indexed in the same way. Two texts with a segment that differs in at most one
+bit have one of its bytes equal, so that a row for each byte meets in one task,
+and the variants of the byte beside it are made there.
 """
 
 from __future__ import annotations
@@ -26,6 +33,9 @@ from siftwork.plans.shared import materialize
 
 SHINGLE, SEED, MAX_BITS = 4, 42, 4
 BLOCK = 16384
+#: Of wide fingerprints: their words, the words counted beside a segment's own, and the bits that may differ in all of these and in the first.
+WORDS, COUNTED, WIDE_BITS, FIRST_BITS = 8, 3, 53, 24
+WIDE_BLOCK, CHUNK, LARGE = 65536, 32768, 2048
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -173,6 +183,157 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, block: int = BLOCK) -> DataF
     return edges
 
 
+def wide_fingerprint(hashes: np.ndarray) -> bytes:
+    """WORDS words of 64 bits of a set of 64-bit hashes: a bit is 1 if set in over half of them, mixed anew for each word; zero for an empty set."""
+    ones = np.zeros(64 * WORDS, np.int64)
+    word = np.arange(WORDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for i in range(0, len(hashes), 255):
+        z = hashes[i : i + 255, None] + word
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        z ^= z >> np.uint64(31)
+        bits = np.unpackbits(z.astype("<u8").view(np.uint8).reshape(len(z), -1), axis=1, bitorder="little")
+        ones += np.add.reduce(bits, axis=0, dtype=np.uint8)
+    return np.packbits(ones * 2 > len(hashes), bitorder="little").tobytes()
+
+
+def _places(column: pa.Array, ids: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, fingerprints as rows of bytes) of a column of one or more wide fingerprints each."""
+    found = column.to_pylist()
+    rep = np.repeat(ids.to_numpy(zero_copy_only=False), [len(x) // (8 * WORDS) for x in found])
+    return rep, np.frombuffer(b"".join(found), np.uint8).reshape(-1, 8 * WORDS)
+
+
+def _count_places(batches):
+    """(place, n): how many fingerprints hold each byte at each place."""
+    counts = np.zeros(8 * WORDS * 256, np.int64)
+    for b in batches:
+        _, fp = _places(b.column(1), b.column(0))
+        counts += np.bincount((np.arange(8 * WORDS) * 256 + fp).ravel(), minlength=len(counts))
+    at = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(counts[at], pa.int64())], names=["place", "n"])
+
+
+def _deal(batches, blocks: dict[int, int]):
+    """A row for each byte of a fingerprint: (key, rep, words to count). A place of several blocks goes to all its pairs of blocks."""
+    names = ["key", "rep", *(f"w{j}" for j in range(COUNTED))]
+    of = np.ones(8 * WORDS * 256, np.int64)
+    of[list(blocks)] = list(blocks.values())
+    at = np.arange(8 * WORDS)
+    for b in batches:
+        reps, fps = _places(b.column(1), b.column(0))
+        for i in range(0, len(reps), 512):
+            fp = fps[i : i + 512]
+            rep = np.repeat(reps[i : i + 512], len(at))
+            place = (at * 256 + fp).ravel()
+            beside = fp[:, at ^ 1].astype(np.int64).ravel()
+            words = fp.view("<i8")
+            words = [words[:, (at // 8 + 1 + j) % WORDS].ravel() for j in range(COUNTED)]
+            n = of[place]
+            if (n > 1).any():
+                row = np.repeat(np.arange(len(n)), n)
+                other = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+                rep, place, beside, words, n = rep[row], place[row], beside[row], [w[row] for w in words], n[row]
+                own = ((rep.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % n
+                place = place + len(of) * (np.minimum(own, other) * n + np.maximum(own, other))
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (place << 8 | beside, rep, *words)], names=names)
+
+
+def _unite(label: np.ndarray, x: np.ndarray, y: np.ndarray) -> None:
+    """Labels of linked nodes become the smallest of theirs."""
+    while len(x):
+        a, b = label[x], label[y]
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        while not np.array_equal(up := label[label], label):
+            label[:] = up
+        apart = label[x] != label[y]
+        x, y = x[apart], y[apart]
+
+
+def _wide_buckets(key: np.ndarray, rep: np.ndarray, words: np.ndarray, max_bits: int):
+    """(a, b): links within whole buckets of rows sorted by key, a star for each class."""
+    reps, node = np.unique(rep, return_inverse=True)
+    label = np.arange(len(reps))
+    bit = np.arange(8)
+    group = ((key >> 8)[:, None] << 11 | bit << 8 | (key & 255)[:, None] & ~(1 << bit)).ravel()
+    order = np.argsort(group, kind="stable")
+    group, row = group[order], order // 8
+    sizes = np.diff(np.r_[np.flatnonzero(np.r_[True, group[1:] != group[:-1]]), len(group)])
+    size = np.repeat(sizes, sizes)
+    if sizes.max() > LARGE:
+        for rest in np.split(row[size > LARGE], np.cumsum(sizes[sizes > LARGE])[:-1]):
+            while len(rest) > 1:
+                queue, rest = [rest[0]], rest[1:]
+                while queue and len(rest):
+                    at = queue.pop()
+                    near = np.bitwise_count((words[rest] ^ words[at]).view(np.uint64)).sum(axis=1) <= max_bits
+                    if near.any():
+                        found, rest = rest[near], rest[~near]
+                        _unite(label, np.full(len(found), node[at]), node[found])
+                        queue.extend(found)
+        keep = size <= LARGE
+        group, row, size = group[keep], row[keep], size[keep]
+    lag = 1
+    while len(group) > lag:
+        if lag & (lag - 1) == 0:  # now and then, groups that are through or are one class go
+            of = label[node[row]]
+            starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+            mixed = np.minimum.reduceat(of, starts) != np.maximum.reduceat(of, starts)
+            keep = np.repeat(mixed, np.diff(np.r_[starts, len(group)])) & (size > lag)
+            group, row, size = group[keep], row[keep], size[keep]
+            first = words[row, 0]
+        i = np.flatnonzero((np.bitwise_count((first[lag:] ^ first[:-lag]).view(np.uint64)) <= FIRST_BITS) & (group[lag:] == group[:-lag]))
+        x, y = row[i], row[i + lag]
+        apart = label[node[x]] != label[node[y]]
+        x, y = x[apart], y[apart]
+        near = np.bitwise_count((words[x] ^ words[y]).view(np.uint64)).sum(axis=1) <= max_bits
+        _unite(label, node[x[near]], node[y[near]])
+        lag += 1
+    linked = np.flatnonzero(label != np.arange(len(label)))
+    return reps[label[linked]], reps[linked]
+
+
+def _wide_links(batches, max_bits: int):
+    """Of rows sorted by key: the links of each bucket, some buckets at a time."""
+
+    def done(rows):
+        a, b = _wide_buckets(rows[0], rows[1], np.ascontiguousarray(np.stack(rows[2:], axis=1)), max_bits)
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    kept, n, enough = [], 0, CHUNK
+    for b in batches:
+        kept.append([c.to_numpy(zero_copy_only=False) for c in b.columns])
+        n += b.num_rows
+        if n < enough:
+            continue
+        rows = [np.concatenate(c) for c in zip(*kept)]
+        cut = int(np.searchsorted(rows[0], rows[0][-1] >> 8 << 8))  # the last bucket may go on
+        if cut:
+            yield done([c[:cut] for c in rows])
+        kept, n = [[c[cut:] for c in rows]], n - cut
+        enough = max(CHUNK, 2 * n)
+    if n:
+        yield done([np.concatenate(c) for c in zip(*kept)])
+
+
+def wide_links(marks: DataFrame, max_bits: int = WIDE_BITS, block: int = WIDE_BLOCK) -> DataFrame:
+    """(a, b): links between the ids of `marks` (rep long, fps binary: one or more wide fingerprints), as stars of each task's classes.
+
+    Two ids are linked if fingerprints of theirs have a segment of 16 bits that
+    differs in at most one, and at most `max_bits` differ in the COUNTED words
+    that follow the segment's own.
+    """
+    spark = marks.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    marks = marks.select("rep", "fps")
+    # at most 256 bytes at each place: a bounded histogram
+    counts = marks.mapInArrow(_count_places, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).filter(F.col("n") > block).collect()
+    blocks = {r["place"]: -(-r["n"] // block) for r in counts}
+    schema = "key long, rep long, " + ", ".join(f"w{j} long" for j in range(COUNTED))
+    dealt = marks.mapInArrow(lambda it: _deal(it, blocks), schema).repartition(n, F.shiftright("key", 8)).sortWithinPartitions("key")
+    return materialize(dealt.mapInArrow(lambda it: _wide_links(it, max_bits), "a long, b long"), "links")
+
+
 def classes(docs: DataFrame, max_bits: int = MAX_BITS, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(doc_id, fp, component_id) of every row; component_id is the smallest id reachable by links.
 

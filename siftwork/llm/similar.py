@@ -1,14 +1,17 @@
 """Near-duplicates by the texts themselves: Jaccard similarity of the sets of word shingles.
 
-Minima of the shingles' hashes under many orders are joined in bands; texts
-that share a band are candidates and form coarse groups. Within a group the
-shingle sets themselves are compared, and only links whose similarity is
-enough count; they leave a task as a spanning forest. A group beyond BLOCK
-texts is dealt out by pairs of blocks, so every pair in it still meets.
-
-BANDS bands of ROWS minima pass over 2 of 10,000 pairs at a similarity of 0.8
-and fewer above. Shingles are compared by 64-bit hashes. Equal texts (in words,
-A-Z lower-cased) are one text from the start.
+Wide SimHash fingerprints of the sets of shingles are linked by deletion
+variants and population counts (`simhash.wide_links`); what links reach are
+coarse groups. Within a group the shingle sets themselves are compared, and only
+links whose similarity is enough count; they leave a task as a spanning forest.
+A group beyond BLOCK texts is dealt out by pairs of blocks, so every pair in it
+still meets.
+
+At a similarity of 0.8 or more at most 2 of 10,000 pairs are passed over, under 1
+where the sets are large, and fewer above. Sets of four and five shingles differ
+in more bits than that allows, so a set of five is also indexed with each
+shingle left out, which finds them all. Shingles are compared by 64-bit hashes.
+Equal texts (in words, A-Z lower-cased) are one text from the start.
 """
 
 from __future__ import annotations
@@ -20,13 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftwork.llm.base import lower_words_of, texts
+from siftwork.llm.simhash import wide_fingerprint, wide_links
 from siftwork.operators.components import connected_components
 from siftwork.plans.shared import materialize
 
 SHINGLE, SIMILARITY, SEED = 5, 0.8, 42
-BANDS, ROWS = 36, 7
 BLOCK = 128
-ORDERS = np.random.default_rng(SEED).integers(0, 2**63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def shingles(words: list[bytes], shingle: int = SHINGLE) -> np.ndarray:
@@ -43,39 +45,32 @@ def shingles(words: list[bytes], shingle: int = SHINGLE) -> np.ndarray:
     return np.unique(np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, stops)), np.uint64, n))
 
 
-def bands(hashes: np.ndarray) -> list[int]:
-    """A key for each band, signed; none for an empty set."""
+def marks(hashes: np.ndarray) -> bytes:
+    """The wide fingerprint of a set, and those of a set of five less one each; nothing for an empty set."""
     if not len(hashes):
-        return []
-    least = np.full(len(ORDERS), 2**64 - 1, np.uint64)
-    for i in range(0, len(hashes), 512):
-        np.minimum(least, (ORDERS[:, None] * hashes[None, i : i + 512]).min(axis=1), out=least)
-    rows = least.astype("<u8").reshape(BANDS, ROWS)
-    return np.array([xxhash.xxh64_intdigest(r.tobytes(), k) for k, r in enumerate(rows)], np.uint64).view(np.int64).tolist()
+        return b""
+    less = [np.delete(hashes, i) for i in range(5)] if len(hashes) == 5 else []
+    return b"".join(map(wide_fingerprint, [hashes, *less]))
 
 
 def sketches(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(rep, bands) of every distinct text: its smallest id and its bands. Rows with a null id have none."""
+    """(rep, fps) of every distinct text: its smallest id and its fingerprints. Rows with a null id have none."""
 
     def run(batches):
         for b in batches:
             words = [lower_words_of(t) for t in b.column(1).to_pylist()]
             same = pa.array([xxhash.xxh3_128_digest(b" ".join(w)) for w in words], pa.binary())
-            keys = pa.array([bands(shingles(w, shingle)) for w in words], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), same, keys], names=["doc_id", "same", "bands"])
+            fps = pa.array([marks(shingles(w, shingle)) for w in words], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), same, fps], names=["doc_id", "same", "fps"])
 
-    marks = texts(docs.filter("doc_id IS NOT NULL")).mapInArrow(run, "doc_id long, same binary, bands array<long>")
-    marks = materialize(marks, "sketches")
-    return materialize(marks.groupBy("same").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")).select("rep", "bands"), "distinct")
+    found = texts(docs.filter("doc_id IS NOT NULL")).mapInArrow(run, "doc_id long, same binary, fps binary")
+    found = materialize(found, "sketches")
+    return materialize(found.groupBy("same").agg(F.min("doc_id").alias("rep"), F.first("fps").alias("fps")).select("rep", "fps"), "distinct")
 
 
 def candidates(reps: DataFrame) -> DataFrame:
-    """(node, component): groups of texts that shared bands lead to."""
-    keyed = reps.select(F.explode("bands").alias("key"), "rep")
-    hubs = keyed.groupBy("key").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "hub")
-    hubs = materialize(hubs, "bands")
-    edges = keyed.join(hubs, "key").filter("rep <> hub").select("hub", "rep").distinct()
-    return materialize(connected_components(edges, "hub", "rep"), "groups")
+    """(node, component): groups of texts that links of fingerprints lead to."""
+    return materialize(connected_components(wide_links(reps), "a", "b"), "groups")
 
 
 def forest(reps: list[int], sets: list[np.ndarray], similarity: float) -> tuple[list[int], list[int]]:

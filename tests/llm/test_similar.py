@@ -64,3 +64,21 @@ def test_stage(spark, small, docs, plain):
     import corpus_pipeline
 
     assert {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, small).collect()} == slow_kept(plain)
+
+
+def test_stage_takes_its_links_from_simhash(spark, small, docs, plain, monkeypatch):
+    """No other path brings candidates: without the links of fingerprints every distinct text stays."""
+    import corpus_pipeline
+
+    monkeypatch.setattr(similar, "wide_links", lambda marks, **_: spark.createDataFrame([], "a long, b long"))
+    stay = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, small).collect()}
+    first = {}
+    for i in sorted(plain):
+        first.setdefault(tuple(plain[i].encode().lower().split()), i)
+    assert stay == set(first.values()) and stay > slow_kept(plain)
+
+
+def test_four_of_five_shingles(spark):
+    """Texts of eight and nine words: the least similarity with the fewest shingles."""
+    rows = [(2 * i + k, " ".join(f"w{i}x{j}" for j in range(9 - k))) for i in range(300) for k in (0, 1)]
+    assert kept(spark.createDataFrame(rows, "doc_id long, text string")) == {2 * i for i in range(300)}
