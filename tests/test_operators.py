@@ -95,6 +95,27 @@ def test_graphs_against_brute_force(spark, seed):
     assert comp == {v: min(_reach(both, v)) for v in real}
 
 
+@pytest.mark.parametrize("together", [1 << 22, 0])
+def test_closure_of_cycles_in_few_rounds(spark, monkeypatch, together):
+    """A cycle is one step of a closure, however long; blocks of members and both ways to components give the same pairs."""
+    monkeypatch.setattr(graph, "TOGETHER", together)
+    monkeypatch.setattr(graph, "MEMBERS", 3)
+    edges = {(i, (i + 1) % 12) for i in range(12)} | {(5, 20), (20, 21), (21, 20), (21, 30), (30, 30), (40, 0), (41, 40), (50, 51)}
+    got = [tuple(r) for r in graph.closure(spark.createDataFrame(sorted(edges), "src long, dst long"), max_rounds=6).collect()]
+    starts = {a for a, _ in edges}
+    want = {(a, b) for a in starts for x, y in edges if x == a for b in _reach(edges, y)}
+    assert len(got) == len(set(got)) and set(got) == want
+    names = spark.createDataFrame([("b", "a"), ("a", "b"), ("b", "c"), (None, "a")], "src string, dst string")
+    assert sorted(tuple(r) for r in graph.closure(names).collect()) == sorted((x, y) for x in "ab" for y in "abc")
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_closure_against_brute_force(spark, seed):
+    edges = _random_graph(seed, 25, 30)
+    got = [tuple(r) for r in graph.closure(spark.createDataFrame(sorted(edges), "src long, dst long")).collect()]
+    assert len(got) == len(set(got)) and set(got) == {(a, b) for a, c in edges for b in _reach(edges, c)}
+
+
 def test_masks_limits_and_empty(spark):
     df = spark.createDataFrame([(1, 2, 1), (2, 3, 2), (3, 4, 1)], "src long, dst long, kind int")
     start = spark.createDataFrame([(1,)], "node long")
