@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwork.plans.shared import materialize, release
+from siftwork.plans.shared import dealt, materialize, release
 
 
 def merge_edges(edges: DataFrame) -> DataFrame:
@@ -75,8 +75,6 @@ def _appended(levels: list[DataFrame], new: DataFrame) -> list[DataFrame]:
 
 #: Edges up to which strong components are found by one task, and nodes that a block of a component has.
 TOGETHER, MEMBERS = 1 << 22, 1024
-#: Pairs that a task of a closure makes, about.
-TASK_PAIRS = 1 << 22
 
 
 def closure(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
@@ -122,10 +120,7 @@ def _members(pairs: DataFrame, part: DataFrame) -> DataFrame:
         nodes = blocks.select(F.col("component").alias(side), F.col("block").alias(f"{side}_block"), F.col("nodes").alias(f"{side}_nodes"))
         pairs = pairs.join(nodes, [side, f"{side}_block"], "left").withColumn(f"{side}_nodes", F.coalesce(f"{side}_nodes", F.array(side)))
     pairs = materialize(pairs.select("src_nodes", "dst_nodes"), "pairs")
-    rows, total = pairs.agg(F.count(F.lit(1)), F.sum(F.size("src_nodes").cast("long") * F.size("dst_nodes"))).first()
-    spread = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = pairs.repartition(max(1, min(rows, max(spread, (total or 0) // TASK_PAIRS))))
-    return dealt.select(F.explode("src_nodes").alias("src"), "dst_nodes").select("src", F.explode("dst_nodes").alias("dst"))
+    return dealt(pairs, "src_nodes", "dst_nodes").select(F.explode("src_nodes").alias("src"), "dst_nodes").select("src", F.explode("dst_nodes").alias("dst"))
 
 
 def strong(edges: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from siftwork.functions import intervals as I
 from siftwork.functions import scalars as S
-from siftwork.operators import clones, graph, ordered, rewrite, search
+from siftwork.operators import clones, graph, ordered, pairs, rewrite, search
 from siftwork.operators.components import connected_components
 
 
@@ -116,6 +116,20 @@ def test_closure_against_brute_force(spark, seed):
     assert len(got) == len(set(got)) and set(got) == {(a, b) for a, c in edges for b in _reach(edges, c)}
 
 
+def test_near_pairs_of_one_large_group(spark, monkeypatch):
+    """One group's pairs are made by many tasks, and values at the bounds, missing and odd ones count as in a plain join."""
+    monkeypatch.setattr(pairs, "ROWS", 16)
+    monkeypatch.setattr("siftwork.plans.shared.TASK_PAIRS", 500)
+    rng = random.Random(3)
+    values = [rng.choice([900.0, 900.5, 920.0, 920.5, -1e-20, 20.0, 1e300, float("inf"), float("nan"), None, rng.uniform(0, 100)]) for _ in range(300)]
+    df = spark.createDataFrame([(i, "g" if i % 50 else None, v) for i, v in enumerate(values)], "k long, g string, v double").coalesce(1)
+    got = pairs.near(df, "k", ["g"], "v", 0.5, 20.0)
+    assert got.rdd.getNumPartitions() > 4
+    a, b = df.alias("a"), df.alias("b")
+    want = a.join(b, (F.col("a.g") == F.col("b.g")) & (F.col("a.k") < F.col("b.k"))).filter("abs(a.v - b.v) BETWEEN 0.5 AND 20").select("a.k", "b.k")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_masks_limits_and_empty(spark):
     df = spark.createDataFrame([(1, 2, 1), (2, 3, 2), (3, 4, 1)], "src long, dst long, kind int")
     start = spark.createDataFrame([(1,)], "node long")
