@@ -17,3 +17,9 @@ def test_tables_are_written_and_released(spark):
 def test_no_lineage(spark):
     df = materialize(spark.range(5).groupBy("id").count())
     assert "Aggregate" not in df._jdf.queryExecution().toString() and "Exchange" not in df._jdf.queryExecution().toString()
+
+
+def test_costly_rows_of_one_file_are_dealt_out(spark, small):
+    from siftwork.queries import QUERIES
+
+    assert QUERIES["scalar_parses"](spark, small).rdd.getNumPartitions() > 4
