@@ -198,3 +198,51 @@ def test_clones(spark):
     docs = spark.createDataFrame([(1, " ".join([word() for _ in range(20)] + part)), (2, " ".join([word() for _ in range(9)] + other)), (3, " ".join(word() for _ in range(80))), (4, None)], "doc_id long, text string")
     rows = clones.clones(docs).collect()
     assert len(rows) == 1 and (rows[0]["a_doc"], rows[0]["b_doc"]) == (1, 2) and rows[0]["b_first"] == 9 and rows[0]["b_last"] == 68
+
+
+def test_windows_travel_packed(spark):
+    """Counts of recurring windows against brute force, and not a row a window between the tasks."""
+    rng = random.Random(9)
+    texts = [[rng.choice("abc") for _ in range(rng.randrange(40))] for _ in range(50)]
+    lists = spark.createDataFrame(list(enumerate(texts)), "doc_id long, t array<string>").select("doc_id", F.transform("t", lambda x: F.xxhash64(x)).alias("h"))
+    seen = {}
+    for t in texts:
+        for w in {tuple(t[i : i + 4]) for i in range(len(t) - 3)}:
+            seen[w] = seen.get(w, 0) + 1
+    again = [n for n in seen.values() if n > 1]
+    assert tuple(clones.recurring(lists, 4).first()) == (len(again), sum(again)) and tuple(clones.recurring(lists.limit(0), 4).first()) == (0, None)
+    docs = lists.select("doc_id", F.lit("some text").alias("text"))
+    plan = clones.recurring(lists, 4)._jdf.queryExecution().toString()
+    assert "Exchange hashpartitioning(bucket" in plan and "key#" in plan and clones.clones(docs).count() == 0
+
+
+@pytest.mark.parametrize("seed, shared", [(3, 7), (3, 9), (7, 5)])
+def test_clones_against_brute_force(spark, seed, shared):
+    """Runs of matched windows as their definition says, for windows that make up longer ones and for those that don't."""
+    rng = random.Random(seed * shared)
+    texts = [[rng.choice(["a", "b", "7"]) for _ in range(rng.randrange(5, 60))] for _ in range(12)]
+    room, found = int(shared * 0.15 / 0.85) + seed, {}
+    for size, gap, first in ((seed, room, False), (shared, 1, True)):
+        places = {}
+        for d, t in enumerate(texts):
+            for i in range(len(t) - size + 1):
+                places.setdefault(tuple(t[i : i + size]), []).append((d, i))
+        lines = {}
+        for p in places.values():
+            for k in range(1, len(p)):
+                (a, i), (b, j) = p[0 if first else k - 1], p[k]
+                if a != b or j - i >= seed:
+                    lines.setdefault((a, b, j - i), []).append(j)
+        for (a, b, d), js in lines.items():
+            run = []
+            for j in [*sorted(js), None]:
+                if run and (j is None or j - run[-1] > gap):
+                    held = size + sum(min(y - x, size) for x, y in zip(run, run[1:]))
+                    values = sum(texts[b][x] == "7" for x in run) / len(run)
+                    if held >= shared and held >= 0.85 * (run[-1] + size - run[0]) and values <= 0.5:
+                        found.setdefault((a, b, d, run[0]), []).append((run[-1] + size - 1, held))
+                    run = []
+                run.append(j)
+    want = {(a, j - d, max(m)[0] - d, b, j, *max(m)) for (a, b, d, j), m in found.items()}
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert want and {tuple(r) for r in clones.clones(docs, seed=seed, shared=shared).collect()} == want
